@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lintlake.llm.contamination import leaked_items
 from lintlake.llm.splitting import split_oversized
 from lintlake.sources.tables import table
 
@@ -38,9 +39,23 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.where("piece_count > 1 and length(piece_text) > 0").select("snapshot_id", "file").distinct()
 
 
+# ---------------------------------------------------------------- documents
+
+
+def p7_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document that carries at least half of a test item, with the share carried."""
+    return leaked_items(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "eval_items").select("item_id", "text"))
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p7_leaks(spark, sf_dir).select("doc_id", "item_id").distinct()
+
+
 QUERIES = {
     "p4_found": p4_found,
     "p4_pieces": p4_pieces,
+    "p7_found": p7_found,
+    "p7_leaks": p7_leaks,
 }
 
 SQL = {
