@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lintlake.llm.contamination import leaked_items
+from lintlake.llm.quality import text_quality
 from lintlake.llm.splitting import split_oversized
 from lintlake.sources.tables import table
 
@@ -51,11 +52,22 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p7_leaks(spark, sf_dir).select("doc_id", "item_id").distinct()
 
 
+def p8_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics, failed rules and verdict of every document."""
+    return text_quality(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "common_word"))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p8_stats(spark, sf_dir).where("not natural_prose").select("doc_id").distinct()
+
+
 QUERIES = {
     "p4_found": p4_found,
     "p4_pieces": p4_pieces,
     "p7_found": p7_found,
     "p7_leaks": p7_leaks,
+    "p8_found": p8_found,
+    "p8_stats": p8_stats,
 }
 
 SQL = {
