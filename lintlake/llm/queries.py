@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lintlake.llm.contamination import leaked_items
+from lintlake.llm.packing import pack_documents
 from lintlake.llm.quality import text_quality
 from lintlake.llm.splitting import split_oversized
 from lintlake.sources.tables import table
@@ -43,6 +44,18 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------- documents
 
 
+def p6_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's container of each kind, by tokens of a public tokenizer."""
+    return pack_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "pack_capacity"))
+
+
+def p6_use(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How full the containers of each kind are."""
+    used = p6_packed(spark, sf_dir).groupBy("container_kind", "container_no").agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("pieces"))
+    kinds = table(spark, sf_dir, "pack_capacity")
+    return used.join(kinds, "container_kind").groupBy("container_kind", "capacity_tokens").agg(F.count(F.lit(1)).alias("containers"), F.sum("pieces").alias("pieces"), F.sum("tokens").alias("tokens"), F.max("tokens").alias("fullest"), (F.sum("tokens") / (F.count(F.lit(1)) * F.first("capacity_tokens"))).alias("used_share"))
+
+
 def p7_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document that carries at least half of a test item, with the share carried."""
     return leaked_items(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "eval_items").select("item_id", "text"))
@@ -64,6 +77,8 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "p4_found": p4_found,
     "p4_pieces": p4_pieces,
+    "p6_packed": p6_packed,
+    "p6_use": p6_use,
     "p7_found": p7_found,
     "p7_leaks": p7_leaks,
     "p8_found": p8_found,
