@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lintlake.llm.kernel import Words, words_of_column
+from lintlake.llm.kernel import Words, portions, words_of_column
 
 # Letters of other alphabets that look like Latin ones.
 _LOOKALIKE = {
@@ -216,7 +216,7 @@ def leaked_items(
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             known = shared.value
-            for batch in batches:
+            for batch in (part for whole in batches for part in portions(whole, 1)):
                 rows = list(leaks_of(batch.column(1), known, gram=gram, seeds=seeds, least=least_run, runs=runs, share=share))
                 if rows:
                     own = batch.column(0).take(pa.array([r[0] for r in rows]))

@@ -135,3 +135,15 @@ def count_in(flags: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     total = np.zeros(len(flags) + 1, np.int64)
     np.cumsum(flags, out=total[1:])
     return total[bounds[1:]] - total[bounds[:-1]]
+
+
+def portions(batch: pa.RecordBatch, column: int, most_bytes: int = 1 << 20) -> list[pa.RecordBatch]:
+    """The batch in slices of about most_bytes bytes of text (at least one row), so that working arrays stay small and in cache."""
+    if not batch.num_rows:
+        return []
+    _, offsets = text_buffer(batch.column(column))
+    cuts, at = [0], 0
+    while at < batch.num_rows:
+        at = max(at + 1, int(np.searchsorted(offsets, offsets[at] + most_bytes, side="right")) - 1)
+        cuts.append(min(at, batch.num_rows))
+    return [batch.slice(a, b - a) for a, b in zip(cuts, cuts[1:])]

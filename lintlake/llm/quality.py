@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lintlake.llm.kernel import IS_DIGIT, IS_LETTER, IS_SPACE, count_in, hash_words, mix, words_of_column
+from lintlake.llm.kernel import IS_DIGIT, IS_LETTER, IS_SPACE, count_in, hash_words, mix, portions, words_of_column
 
 # Thresholds as published for MassiveText (mean word length 3-10, symbols per word 0.1, bullet lines
 # 0.9, lines ending in an ellipsis 0.3, words with a letter 0.8, repeated lines 0.3), but for those
@@ -194,9 +194,7 @@ def text_quality(documents: DataFrame, common_words: DataFrame, *, doc_id: str =
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in (part for whole in batches for part in portions(whole, 1)):
             stats = measure(batch.column(1), known)
             reasons, prose = judge(stats)
             null = np.asarray(batch.column(1).is_null().to_numpy(zero_copy_only=False))
