@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lintlake.llm.contamination import leaked_items
 from lintlake.llm.packing import pack_documents
 from lintlake.llm.quality import text_quality
+from lintlake.llm.secrets import redacted, secrets_in
 from lintlake.llm.splitting import split_oversized
 from lintlake.sources.tables import table
 
@@ -41,6 +42,32 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.where("piece_count > 1 and length(piece_text) > 0").select("snapshot_id", "file").distinct()
 
 
+def _code_texts(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+    """Texts that may hold credentials, as place, row_id, file, content."""
+    patches = table(spark, sf_dir, "pr").select("pr_id", F.explode("files").alias("f"))
+    return [
+        snapshot_files(spark, sf_dir).select(F.lit("repo_snapshot").alias("place"), F.col("snapshot_id").alias("row_id"), "file", "content"),
+        patches.select(F.lit("pr").alias("place"), F.col("pr_id").alias("row_id"), F.col("f.filename").alias("file"), F.col("f.patch").alias("content")),
+        table(spark, sf_dir, "finding").select(F.lit("finding").alias("place"), F.col("finding_id").alias("row_id"), "file", F.col("match").alias("content")),
+    ]
+
+
+def p5_credentials(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every credential with its place in its text."""
+    found = [secrets_in(texts, "content", ["place", "row_id", "file"]) for texts in _code_texts(spark, sf_dir)]
+    return found[0].unionByName(found[1]).unionByName(found[2]).distinct()
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p5_credentials(spark, sf_dir).select("place", "row_id", "file", F.when(F.col("place") == "finding", F.lit(1)).otherwise(F.col("line")).alias("line")).distinct()
+
+
+def p5_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text that holds credentials, with these replaced; re-sent rows count once."""
+    clean = [redacted(texts, "content", ["place", "row_id", "file"]) for texts in _code_texts(spark, sf_dir)]
+    return clean[0].unionByName(clean[1]).unionByName(clean[2]).groupBy("place", "row_id", "file").agg(F.first(F.struct("redacted_text", "credentials")).alias("x")).select("place", "row_id", "file", "x.*")
+
+
 # ---------------------------------------------------------------- documents
 
 
@@ -77,6 +104,9 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "p4_found": p4_found,
     "p4_pieces": p4_pieces,
+    "p5_found": p5_found,
+    "p5_credentials": p5_credentials,
+    "p5_redacted": p5_redacted,
     "p6_packed": p6_packed,
     "p6_use": p6_use,
     "p7_found": p7_found,
