@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lintlake.llm.contamination import leaked_items
+from lintlake.llm.handwritten import fit, not_handwritten
 from lintlake.llm.packing import pack_documents
 from lintlake.llm.quality import text_quality
 from lintlake.llm.secrets import redacted, secrets_in
@@ -20,6 +21,26 @@ def snapshot_files(spark: SparkSession, sf_dir: str, *extra: str) -> DataFrame:
     return table(spark, sf_dir, "repo_snapshot").select("snapshot_id", *extra, F.explode("file_contents").alias("file", "content")).where("content is not null")
 
 
+def _project_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "repo_snapshot").select("snapshot_id", "root", "structure", F.explode("file_contents").alias("file", "content")).where("content is not null")
+
+
+def p3_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score, class and evidence of every file."""
+    files = _project_files(spark, sf_dir)
+    return not_handwritten(files, fit(files))
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p3_files(spark, sf_dir).where("score > 0").select("snapshot_id", "file").distinct()
+
+
+def p3_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How the classifiers do on the labels of held-out repositories."""
+    report = fit(_project_files(spark, sf_dir)).report
+    return spark.createDataFrame([tuple(r) for r in report], "class string, train_files int, train_positive int, held_files int, held_positive int, precision double, recall double")
+
+
 def _with_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files with the limit and overlap of their row's config; no or an unknown config means the one named default."""
     config = table(spark, sf_dir, "ai_review_config").select("config_id", "name", "max_file_size", "context_lines")
@@ -102,6 +123,9 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "p3_found": p3_found,
+    "p3_files": p3_files,
+    "p3_validation": p3_validation,
     "p4_found": p4_found,
     "p4_pieces": p4_pieces,
     "p5_found": p5_found,
