@@ -90,12 +90,14 @@ def hits(line: Column, rules: Sequence[Rule]) -> Column:
 
 def matches(line: Column, rules: Sequence[Rule], path: Column) -> Column:
     """array<struct<rule_id, severity, match>>: every match of every pattern rule in scope."""
-    each = [
-        F.when(in_scope(path, r), F.transform(F.regexp_extract_all(line, F.lit(java(r.pattern)), F.lit(0)), lambda m, r=r: F.struct(F.lit(r.id).alias("rule_id"), F.lit(r.severity).alias("severity"), m.alias("match")))).otherwise(F.array().cast("array<struct<rule_id:string,severity:string,match:string>>"))
-        for r in rules
-        if r.enabled and r.type == "pattern" and r.pattern
-    ]
-    return F.flatten(F.array(*each)) if each else F.array().cast("array<struct<rule_id:string,severity:string,match:string>>")
+    none = F.array().cast("array<struct<rule_id:string,severity:string,match:string>>")
+
+    def of(r: Rule) -> Column:
+        found = F.transform(F.regexp_extract_all(line, F.lit(java(r.pattern)), F.lit(0)), lambda m: F.struct(F.lit(r.id).alias("rule_id"), F.lit(r.severity).alias("severity"), m.alias("match")))
+        return F.when(in_scope(path, r), found).otherwise(none)
+
+    each = [of(r) for r in rules if r.enabled and r.type == "pattern" and r.pattern]
+    return F.flatten(F.array(*each)) if each else none
 
 
 def validate(rules: Sequence[Rule], spark: SparkSession | None = None) -> list[tuple[str, str, str]]:

@@ -21,7 +21,7 @@ _METRICS = [T.StructField(n, T.StringType() if n == "name" else T.IntegerType())
 
 def _per_file(files: DataFrame, keys: Sequence[str], fields: list[T.StructField], rows) -> DataFrame:
     """Rows of a Python function over (file, content), whole Arrow batches at a time; a failing file gives none."""
-    schema = T.StructType([*[files.schema[k] for k in keys], files.schema["file"], T.StructField("ordinal", T.IntegerType()), *fields])
+    schema = T.StructType([*[files.schema[k] for k in keys], files.schema["file"], T.StructField("position", T.IntegerType()), *fields])
     kinds = [pa.string() if isinstance(f.dataType, T.StringType) else pa.int32() for f in fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
