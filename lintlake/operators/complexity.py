@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from lintlake.functions import bracemetrics, pymetrics
 from lintlake.functions.grades import complexity_grade, complexity_score, function_risk
 from lintlake.functions.rules import AST_RULES, Rule, in_scope
-from lintlake.functions.text import lines, strip, suffix
+from lintlake.functions.text import SPACE, lines, suffix
 
 SKIP_FOLDERS = ("node_modules", "__pycache__", ".git", ".venv", "venv", "dist", "build", ".tox", ".mypy_cache")
 _METRICS = [T.StructField(n, T.StringType() if n == "name" else T.IntegerType()) for n in ("name", "line", "end_line", "length", "cyclomatic", "max_nesting", "cognitive", "params")]
@@ -65,9 +65,10 @@ def ast_violations(files: DataFrame, keys: Sequence[str] = (), wanted: Sequence[
     return found.withColumn("severity", severity)
 
 
-def is_comment(line: Column, language: Column) -> Column:
-    bare = strip(line)
-    return F.startswith(bare, F.lit("//")) | F.startswith(bare, F.lit("/*")) | F.startswith(bare, F.lit("*")) | (F.startswith(bare, F.lit("#")) & (language == "python"))
+def is_code(line: Column, language: Column) -> Column:
+    """Neither blank nor a whole-line comment; one regular expression a line."""
+    no_code = lambda marks: line.rlike(rf"^{SPACE}*(?:$|{marks})")
+    return ~F.when(language == "python", no_code(r"//|/?\*|#")).otherwise(no_code(r"//|/?\*"))
 
 
 def language_of(path: Column) -> Column:
@@ -82,7 +83,7 @@ def language_of(path: Column) -> Column:
 def line_counts(files: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Total and code lines (neither blank nor a whole-line comment) of each file, inside the row, without a shuffle."""
     told = files.select(*keys, "file", lines(F.col("content")).alias("all"), F.coalesce(language_of(F.col("file")), F.lit("")).alias("language"))
-    code = F.filter("all", lambda x: (strip(x) != "") & ~is_comment(x, F.col("language")))
+    code = F.filter("all", lambda x: is_code(x, F.col("language")))
     return told.select(*keys, "file", "language", F.size("all").alias("total_lines"), F.size(code).alias("code_lines"))
 
 

@@ -59,7 +59,8 @@ def tree_text(files: DataFrame, keys: Sequence[str], depth: int = 4) -> DataFram
     """Folders and files of each key down to a depth as indented text, folders first."""
     parts = F.slice(F.split("file", "/"), 1, depth)
     steps = files.select(*keys, F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.struct(F.slice(parts, 1, n).alias("at"), (n < F.size(F.split("file", "/"))).alias("folder")))).alias("s")).select(*keys, "s.at", "s.folder").distinct()
-    key = F.concat(F.array_join(F.transform(F.slice("at", F.lit(1), F.size("at") - 1), lambda p: F.concat(F.lit("0"), p)), "\u0001"), F.lit("\u0001"), F.when(F.col("folder"), "0").otherwise("1"), F.element_at("at", -1))
+    above = F.transform(F.slice("at", F.lit(1), F.size("at") - 1), lambda p: F.concat(F.lit("0"), p))
+    key = F.array_join(F.concat(above, F.array(F.concat(F.when(F.col("folder"), "0").otherwise("1"), F.element_at("at", -1)))), "\u0001")
     line = F.concat(F.repeat(F.lit("    "), F.size("at") - 1), F.element_at("at", -1), F.when(F.col("folder"), "/").otherwise(""))
     rows = steps.select(*keys, F.struct(key.alias("k"), line.alias("l")).alias("r"))
     return rows.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list("r")), lambda r: r["l"]), "\n").alias("tree"))
