@@ -13,6 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from lintlake.llm.kernel import Words, portions, words_of_column
 
@@ -209,6 +210,7 @@ def leaked_items(
     docs = corpus.select(F.col(f"`{doc_id}`").alias("i"), F.col(f"`{text}`").alias("t")).where("t is not null and t != ''")
     wanted = items.select(F.col(f"`{item_id}`").alias("i"), F.col(f"`{item_text}`").alias("t")).where("t is not null and t != ''").distinct().orderBy("i")
     spark = corpus.sparkSession
+    id_type = to_arrow_type(items.schema[item_id].dataType)
     result, ids, texts, words = None, [], [], 0
 
     def scan() -> DataFrame:
@@ -220,7 +222,7 @@ def leaked_items(
                 rows = list(leaks_of(batch.column(1), known, gram=gram, seeds=seeds, least=least_run, runs=runs, share=share))
                 if rows:
                     own = batch.column(0).take(pa.array([r[0] for r in rows]))
-                    yield pa.RecordBatch.from_arrays([own, pa.array([known.ids[r[1]] for r in rows]), pa.array([r[2] for r in rows], pa.float64()), pa.array([r[3] for r in rows], pa.int32())], names=["doc_id", "item_id", "item_share", "seeds_hit"])
+                    yield pa.RecordBatch.from_arrays([own, pa.array([known.ids[r[1]] for r in rows], id_type), pa.array([r[2] for r in rows], pa.float64()), pa.array([r[3] for r in rows], pa.int32())], names=["doc_id", "item_id", "item_share", "seeds_hit"])
 
         return docs.mapInArrow(run, schema)
 
