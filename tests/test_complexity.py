@@ -49,7 +49,7 @@ def test_brace_languages():
     assert got["load"][4:] == (7, 1, 6, 2)
     assert got["f"][1:4] == (6, 8, 3)
     go = "func (s *Store) Get(k string, n int) bool {\n\tfor {\n\t\tselect {}\n\t}\n}\n"
-    assert bracemetrics.functions(go, "go")[0] == ("Get", 1, 5, 5, 3, 2, 3, 2)
+    assert bracemetrics.functions(go, "go")[0] == ("Get", 1, 5, 5, 3, 2, 5, 2)
     rust = "pub async fn run<T>(&self, x: T) {\n  loop { match x { _ => {} } }\n}"
     assert bracemetrics.functions(rust, "rust")[0][7] == 1
     java = "public int[] get(List<String> a, int b) throws X {\n return 1;\n}\nclass Q {}\n"
