@@ -27,10 +27,9 @@ def _any_part(name: Column, parts: Sequence[str]) -> Column:
     return found
 
 
-def pr_files(prs: DataFrame) -> DataFrame:
-    """One row for each file of a pull request, in its order; a re-sent pull request counts once."""
-    once = prs.groupBy("pr_id").agg(F.first(F.struct("repo", "number", "changed_files", "files")).alias("p"))
-    return once.select("pr_id", "p.repo", "p.number", F.posexplode("p.files").alias("ordinal", "f")).select("pr_id", "repo", "number", "ordinal", F.col("f.filename").alias("file"), "f.status", F.coalesce("f.additions", F.lit(0)).alias("additions"), F.coalesce("f.deletions", F.lit(0)).alias("deletions"), "f.patch")
+def pr_files(prs: DataFrame, *keys: str) -> DataFrame:
+    """One row for each file of each row of pull requests, in its order; keys are further columns to keep."""
+    return prs.select("pr_id", "repo", "number", *keys, F.posexplode("files").alias("ordinal", "f")).select("pr_id", "repo", "number", *keys, "ordinal", F.col("f.filename").alias("file"), "f.status", F.coalesce("f.additions", F.lit(0)).alias("additions"), F.coalesce("f.deletions", F.lit(0)).alias("deletions"), "f.patch")
 
 
 def triage(files: DataFrame) -> DataFrame:

@@ -48,13 +48,19 @@ def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def repo_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Files of all snapshots; a re-sent snapshot has the same files, which count once by their keys."""
-    exploded = table(spark, sf_dir, "repo_snapshot").select("snapshot_id", F.explode("file_contents").alias("file", "content")).where("content is not null")
-    return exploded.groupBy("snapshot_id", "file").agg(F.first("content").alias("content"))
+    """Files of all snapshots. A re-sent snapshot is there twice: queries drop its rows from their small
+    results, so that no content is shuffled."""
+    return table(spark, sf_dir, "repo_snapshot").select("snapshot_id", F.explode("file_contents").alias("file", "content")).where("content is not null")
 
 
 def patches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return review.pr_files(table(spark, sf_dir, "pr"))
+    """Files of all pull requests without their patches, each once."""
+    return review.pr_files(table(spark, sf_dir, "pr")).drop("patch").distinct()
+
+
+def sent_patches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Patches by pull request, arrival and place: results of re-sent ones are dropped afterwards."""
+    return review.pr_files(table(spark, sf_dir, "pr"), "fetched_at").select("pr_id", "fetched_at", "ordinal", "file", "patch")
 
 
 def metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -230,7 +236,7 @@ def _scan_sql(rules) -> str:
 
 
 def _scanned(spark: SparkSession, sf_dir: str, rules) -> DataFrame:
-    return scan.scan_files(repo_files(spark, sf_dir), ["snapshot_id"], rules=rules).where("line is not null").select("snapshot_id", "file", "line", "rule_id", "severity", "match")
+    return scan.scan_files(repo_files(spark, sf_dir), ["snapshot_id"], rules=rules).where("line is not null").select("snapshot_id", "file", "line", "rule_id", "severity", "match").distinct()
 
 
 @query(_scan_sql(SECRET_RULES))
@@ -257,20 +263,20 @@ _DIFF = f"""WITH {_PATCHES}, raw AS (SELECT pr_id, ordinal, file, unnest(string_
 
 @query(_DIFF + "SELECT * FROM added")
 def diff_added_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan.added_lines(patches(spark, sf_dir), ["pr_id", "ordinal", "file"])
+    return scan.added_lines(sent_patches(spark, sf_dir), ["pr_id", "fetched_at", "ordinal", "file"]).drop("fetched_at").distinct()
 
 
 @query(_DIFF + f", kept AS (SELECT * FROM added WHERE NOT {_ignored_sql('file')}) SELECT pr_id, ordinal, file, line, h.rule_id AS rule_id, h.severity AS severity, match FROM (SELECT pr_id, ordinal, file, line, {_strip_sql('text')} AS match, unnest({_hits_sql('text', (*SECRET_RULES, *VULNERABILITY_RULES))}) AS h FROM kept) UNION ALL SELECT pr_id, ordinal, file, NULL, h.rule_id, h.severity, NULL FROM (SELECT pr_id, ordinal, file, unnest({_hits_sql('file', FILE_RULES)}) AS h FROM patches WHERE NOT {_ignored_sql('file')})")
 def diff_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Findings in the added lines and the names of pull requests."""
-    return scan.scan_patches(patches(spark, sf_dir), ["pr_id", "ordinal"])
+    return scan.scan_patches(sent_patches(spark, sf_dir), ["pr_id", "fetched_at", "ordinal"]).drop("fetched_at").distinct()
 
 
 @query(_DIFF + f", c AS (SELECT pr_id, count(*) FILTER (NOT {_ignored_sql('file')} AND coalesce(patch, '') != '') AS files_scanned FROM patches GROUP BY pr_id), h AS (SELECT DISTINCT ON (pr_id) pr_id, changed_files FROM pr) SELECT h.pr_id, h.changed_files AS total_files, coalesce(files_scanned, 0) AS files_scanned FROM h LEFT JOIN c ON c.pr_id = h.pr_id")
 def scanned_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files scanned beside the header's count."""
     heads = table(spark, sf_dir, "pr").select("pr_id", "changed_files").distinct()
-    seen = patches(spark, sf_dir).groupBy("pr_id").agg(F.count_if(~ignored(F.col("file")) & (F.coalesce("patch", F.lit("")) != "")).alias("files_scanned"))
+    seen = sent_patches(spark, sf_dir).groupBy("pr_id", "fetched_at").agg(F.count_if(~ignored(F.col("file")) & (F.coalesce("patch", F.lit("")) != "")).alias("files_scanned")).groupBy("pr_id").agg(F.max("files_scanned").alias("files_scanned"))
     return heads.join(seen, "pr_id", "left").select("pr_id", F.col("changed_files").alias("total_files"), F.coalesce("files_scanned", F.lit(0)).alias("files_scanned"))
 
 
@@ -295,7 +301,7 @@ def custom_pattern_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_FILES} SELECT snapshot_id, file FROM files WHERE NOT {_ignored_sql('file')}")
 def default_ignore_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repo_files(spark, sf_dir).where(~ignored(F.col("file"))).select("snapshot_id", "file")
+    return repo_files(spark, sf_dir).where(~ignored(F.col("file"))).select("snapshot_id", "file").distinct()
 
 
 IGNORE_LINES = ("# third-party", "vendor/", "*.min.js", "docs/**/*.md", "!src/*", "test?/", "build/")
@@ -304,12 +310,12 @@ IGNORE_LINES = ("# third-party", "vendor/", "*.min.js", "docs/**/*.md", "!src/*"
 @query(rf"WITH {_FILES} SELECT snapshot_id, file FROM files WHERE NOT ((regexp_matches(file, 'vendor') OR regexp_matches(file, '[^/]*\.min\.js') OR regexp_matches(file, 'docs/(.*/)?[^/]*\.md') OR regexp_matches(file, 'test[^/]') OR regexp_matches(file, 'build')) AND NOT regexp_matches(file, 'src/[^/]*'))")
 def ignore_negation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files that an ignore file with negation leaves."""
-    return repo_files(spark, sf_dir).where(~ignore_predicate(F.col("file"), IGNORE_LINES)).select("snapshot_id", "file")
+    return repo_files(spark, sf_dir).where(~ignore_predicate(F.col("file"), IGNORE_LINES)).select("snapshot_id", "file").distinct()
 
 
 @query()
 def ast_rule_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return complexity.ast_violations(repo_files(spark, sf_dir), ["snapshot_id"])
+    return complexity.ast_violations(repo_files(spark, sf_dir), ["snapshot_id"]).distinct()
 
 
 @query(_scan_sql((*SECRET_RULES, *VULNERABILITY_RULES)).replace("WITH ", "WITH all_rows AS (WITH ", 1) + ") SELECT snapshot_id, CASE WHEN starts_with(rule_id, 'SEC') THEN 'secret' ELSE 'vulnerability' END AS category, count(*) AS findings FROM all_rows GROUP BY ALL")
@@ -325,7 +331,7 @@ def finding_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five lines around each finding in a file."""
     files = repo_files(spark, sf_dir)
     found = scan.scan_files(files, ["snapshot_id"])
-    return fixes.contexts(found, files, ["snapshot_id", "file"])
+    return fixes.contexts(found.distinct(), files, ["snapshot_id", "file"]).distinct()
 
 
 # ---------------------------------------------------------------- complexity
@@ -381,13 +387,13 @@ def report_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def measured_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Metrics of every function in the files of the snapshots, in all languages."""
-    return complexity.measured_functions(repo_files(spark, sf_dir), ["snapshot_id"])
+    return complexity.measured_functions(repo_files(spark, sf_dir), ["snapshot_id"]).distinct()
 
 
 @query()
 def pr_complexity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Metrics of what pull requests add to Python files."""
-    added = scan.added_lines(patches(spark, sf_dir), ["pr_id", "ordinal", "file"])
+    added = scan.added_lines(sent_patches(spark, sf_dir), ["pr_id", "fetched_at", "ordinal", "file"]).drop("fetched_at").distinct()
     return complexity.measured_functions(review.python_additions(added, ["pr_id", "ordinal"]), ["pr_id", "ordinal"])
 
 
@@ -395,12 +401,12 @@ def pr_complexity(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"WITH {_FILES} SELECT snapshot_id, file, len(l) AS total_lines, len(list_filter(l, lambda x: {_strip_sql('x')} != '' AND NOT (starts_with({_strip_sql('x')}, '//') OR starts_with({_strip_sql('x')}, '/*') OR starts_with({_strip_sql('x')}, '*') OR (regexp_matches(lower(file), '[^/]\\.py$') AND starts_with({_strip_sql('x')}, '#'))))) AS code_lines FROM (SELECT snapshot_id, file, {_lines_sql('content')} AS l FROM files)"
 )
 def line_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return complexity.line_counts(repo_files(spark, sf_dir), ["snapshot_id"]).select("snapshot_id", "file", F.col("total_lines").cast("long").alias("total_lines"), F.col("code_lines").cast("long").alias("code_lines"))
+    return complexity.line_counts(repo_files(spark, sf_dir), ["snapshot_id"]).select("snapshot_id", "file", F.col("total_lines").cast("long").alias("total_lines"), F.col("code_lines").cast("long").alias("code_lines")).distinct()
 
 
 @query(rf"WITH {_FILES}, l AS (SELECT snapshot_id, CASE lower(regexp_extract(file, '[^/](\.[^./]+)$', 1)) WHEN '.py' THEN 'python' " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in __import__("lintlake.functions.bracemetrics", fromlist=["x"]).EXTENSIONS.items()) + " END AS language FROM files) SELECT snapshot_id, language, count(*) AS files FROM l WHERE language IS NOT NULL GROUP BY ALL")
 def language_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repo_files(spark, sf_dir).withColumn("language", complexity.language_of(F.col("file"))).where("language is not null").groupBy("snapshot_id", "language").agg(F.count(F.lit(1)).alias("files"))
+    return repo_files(spark, sf_dir).select("snapshot_id", "file").distinct().withColumn("language", complexity.language_of(F.col("file"))).where("language is not null").groupBy("snapshot_id", "language").agg(F.count(F.lit(1)).alias("files"))
 
 
 @query()
@@ -417,7 +423,7 @@ def shallowest_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_FILES} SELECT snapshot_id, file, greatest(1, length(content) // 4) AS tokens, octet_length(encode(content)) AS bytes FROM files")
 def file_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repo_files(spark, sf_dir).select("snapshot_id", "file", token_estimate(F.col("content")).cast("long").alias("tokens"), F.octet_length("content").cast("long").alias("bytes"))
+    return repo_files(spark, sf_dir).select("snapshot_id", "file", token_estimate(F.col("content")).cast("long").alias("tokens"), F.octet_length("content").cast("long").alias("bytes")).distinct()
 
 
 @query()
@@ -489,7 +495,7 @@ def _markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_FILES}, {_MD} SELECT *, language IN ('python', 'py', 'bash', 'sh', 'shell') AS runnable FROM blocks")
 def code_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return docs.code_blocks(_markdown(spark, sf_dir), ["snapshot_id", "file"], "content")
+    return docs.code_blocks(_markdown(spark, sf_dir), ["snapshot_id", "file"], "content").distinct()
 
 
 @query(f"WITH {_FILES}, {_MD} SELECT * FROM issues")
@@ -501,7 +507,7 @@ def docs_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
 def docs_health(spark: SparkSession, sf_dir: str) -> DataFrame:
     blocks = code_blocks(spark, sf_dir)
     issues = docs.block_issues(blocks, ["snapshot_id", "file"])
-    return docs.docs_health(_markdown(spark, sf_dir).select("snapshot_id", "file"), blocks, issues, ["snapshot_id", "file"]).drop("errors", "warnings")
+    return docs.docs_health(_markdown(spark, sf_dir).select("snapshot_id", "file").distinct(), blocks, issues, ["snapshot_id", "file"]).drop("errors", "warnings")
 
 
 # ---------------------------------------------------------------- pull requests
