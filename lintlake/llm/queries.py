@@ -28,7 +28,7 @@ def _project_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p3_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Score, class and evidence of every file."""
     files = _project_files(spark, sf_dir)
-    return not_handwritten(files, fit(files))
+    return not_handwritten(files, fit(files, table(spark, sf_dir, "repo_snapshot")))
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,7 +37,7 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p3_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How the classifiers do on the labels of held-out repositories."""
-    report = fit(_project_files(spark, sf_dir)).report
+    report = fit(_project_files(spark, sf_dir), table(spark, sf_dir, "repo_snapshot")).report
     return spark.createDataFrame([tuple(r) for r in report], "class string, train_files int, train_positive int, held_files int, held_positive int, precision double, recall double")
 
 
