@@ -44,12 +44,20 @@ def p3_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _with_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files with the limit and overlap of their row's config; no or an unknown config means the one named default."""
     config = table(spark, sf_dir, "ai_review_config").select("config_id", "name", "max_file_size", "context_lines")
-    default = config.where("name = 'default'").agg(F.min_by("config_id", "config_id").alias("default_id"), F.min_by("max_file_size", "config_id").alias("default_size"), F.min_by("context_lines", "config_id").alias("default_lines"))
-    named = config.select("config_id", F.lit(True).alias("known"), "max_file_size", "context_lines")
     snapshots = table(spark, sf_dir, "repo_snapshot").select("snapshot_id", "config_id", "file_contents")
-    # both sides are the fixed table of configurations, which Spark broadcasts by its own size check
-    joined = snapshots.join(named, "config_id", "left").join(default)
-    return joined.select("snapshot_id", F.when(F.col("known"), F.col("max_file_size")).otherwise(F.col("default_size")).alias("most"), F.when(F.col("known"), F.col("context_lines")).otherwise(F.col("default_lines")).alias("lines"), F.explode("file_contents").alias("file", "content"))
+    # the configurations are a fixed table, which Spark broadcasts by its own size check; the default's
+    # two numbers are scalar subqueries
+    return spark.sql(
+        """
+        SELECT snapshot_id, most, lines, file, content FROM (
+          SELECT s.snapshot_id, s.file_contents,
+            CASE WHEN c.known THEN c.max_file_size ELSE (SELECT min_by(max_file_size, config_id) FROM {config} WHERE name = 'default') END AS most,
+            CASE WHEN c.known THEN c.context_lines ELSE (SELECT min_by(context_lines, config_id) FROM {config} WHERE name = 'default') END AS lines
+          FROM {snapshots} s LEFT JOIN (SELECT *, true AS known FROM {config}) c ON s.config_id = c.config_id)
+        LATERAL VIEW explode(file_contents) AS file, content""",
+        config=config,
+        snapshots=snapshots,
+    )
 
 
 def p4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
