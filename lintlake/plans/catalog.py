@@ -11,6 +11,7 @@ from lintlake.functions.rules import AST_RULES, DEFAULT_IGNORE, FILE_RULES, SECR
 from lintlake.functions.text import basename, human_size, shortened, suffix, token_estimate
 from lintlake.operators import cachetable, complexity, deps, docs, fixes, review, scan, scoreboard
 from lintlake.operators.topn import clean_path, top_n_per_group
+from lintlake.plans.editor import diagnostics, guide, verdict
 from lintlake.plans.report import function_rows, json_rows
 from lintlake.sources.tables import table
 from lintlake.sources.tree import snapshot_sources, tree_text
@@ -226,6 +227,16 @@ def findings_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return json_rows(findings(spark, sf_dir))
 
 
+@query(f"WITH {_FINDINGS} SELECT finding_id, CAST(greatest(coalesce(line, 1) - 1, 0) AS INTEGER) AS line, CASE WHEN {_rank_sql()} <= 1 THEN 1 WHEN {_rank_sql()} = 2 THEN 2 WHEN {_rank_sql()} = 3 THEN 3 ELSE 4 END AS level, 'lintlake/security/' || coalesce(rule_id, '?') AS code FROM f")
+def editor_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return diagnostics(findings(spark, sf_dir), "security").select("finding_id", "line", "level", "code")
+
+
+@query("WITH s AS (SELECT unnest(generate_series(0, 100)) AS score) SELECT CAST(score AS INTEGER) AS score, CASE WHEN score >= 90 THEN 'good' WHEN score >= 70 THEN 'minor issues' WHEN score >= 50 THEN 'needs work' ELSE 'blocked' END AS verdict FROM s")
+def verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.range(101).select(F.col("id").cast("int").alias("score")).withColumn("verdict", verdict(F.col("score")))
+
+
 # ---------------------------------------------------------------- scanning
 
 _SCANNED = f"""code AS (SELECT snapshot_id, file, unnest({_lines_sql("content")}) AS text, unnest(generate_series(1, len({_lines_sql("content")}))) AS line FROM files WHERE NOT {_ignored_sql("file")} AND octet_length(encode(content)) <= 500000 AND content != '')"""
@@ -415,6 +426,13 @@ def snapshot_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tree_text(repo_files(spark, sf_dir).select("snapshot_id", "file"), ["snapshot_id"])
 
 
+@query(f"WITH {_FILES} SELECT snapshot_id, count(DISTINCT file) AS files, len(list_distinct(list(CASE WHEN regexp_extract(file, '[^/]*$') IN ('main.py', 'app.py', 'index.js', 'index.ts', 'main.go', 'main.rs', 'Main.java', 'manage.py', 'cli.py', 'server.js') THEN file END))) AS entry_points FROM files GROUP BY snapshot_id")
+def first_guides(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a newcomer to each project is told."""
+    told = guide(repo_files(spark, sf_dir).select("snapshot_id", "file"), ["snapshot_id"])
+    return told.select("snapshot_id", "files", F.size("entry_points").cast("long").alias("entry_points"))
+
+
 @query()
 def shallowest_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 shallowest text files of each snapshot, cut to 3,000 characters (a report's excerpt)."""

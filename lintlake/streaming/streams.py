@@ -48,3 +48,35 @@ def arrivals(spark: SparkSession, folder: str, schema: StructType, analyse: Call
         analyse(batch).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     return spark.readStream.schema(schema).parquet(folder).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def expiring(entries: DataFrame, *, key: str = "key", ts: str = "ts", ttl_seconds: int = 86_400, late: str = "10 minutes") -> DataFrame:
+    """Entries as a stream of (key, ts, state): `set` when one comes, `expired` when nothing newer came within its time to live.
+
+    The state is one timestamp a key; it is dropped on expiry, so it follows the live keys only."""
+    from collections.abc import Iterator
+
+    import pandas as pd
+    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+    def follow(name: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            (last,) = state.get
+            state.remove()
+            yield pd.DataFrame({"key": [name[0]], "ts": [pd.Timestamp(last, unit="ms")], "state": ["expired"]})
+            return
+        newest = max(int(b["ts"].max().timestamp() * 1000) for b in batches if len(b))
+        if state.exists:
+            newest = max(newest, state.get[0])
+        state.update((newest,))
+        until = newest + ttl_seconds * 1000
+        state.setTimeoutTimestamp(max(until, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame({"key": [name[0]], "ts": [pd.Timestamp(newest, unit="ms")], "state": ["set"]})
+
+    events = entries.select(F.col(key).cast("string").alias("key"), F.col(ts).alias("ts")).withWatermark("ts", late)
+    return events.groupBy("key").applyInPandasWithState(follow, "key string, ts timestamp, state string", "last long", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def first_seen(results: DataFrame, *, key: str = "uri", ts: str = "ts", late: str = "10 minutes") -> DataFrame:
+    """Each key once within the time for late data."""
+    return results.withWatermark(ts, late).dropDuplicatesWithinWatermark([key]) if results.isStreaming else results.dropDuplicates([key])

@@ -181,3 +181,33 @@ def test_streams(spark, tmp_path):
     q.awaitTermination(60)
     assert spark.read.parquet(str(tmp_path / "out")).agg(F.sum("count")).first()[0] == 5
     assert streams.latest_per_key(df).where("uri = 'a'").first()["ts"] == base + datetime.timedelta(seconds=9)
+
+
+def test_expiry(spark, tmp_path):
+    base = datetime.datetime(2024, 1, 1)
+    folder = str(tmp_path / "in")
+    schema = "key string, ts timestamp"
+    put = lambda rows: spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(folder)
+    put([("a", base), ("b", base + datetime.timedelta(seconds=50))])
+    stream = spark.readStream.schema(schema).parquet(folder)
+    q = streams.expiring(stream, ttl_seconds=60, late="0 seconds").writeStream.format("memory").queryName("expiry").outputMode("append").start()
+    q.processAllAvailable()
+    put([("c", base + datetime.timedelta(seconds=100))])
+    q.processAllAvailable()
+    put([("d", base + datetime.timedelta(seconds=101))])
+    q.processAllAvailable()
+    q.stop()
+    got = {(r["key"], r["state"]) for r in spark.table("expiry").collect()}
+    assert {("a", "set"), ("b", "set"), ("c", "set"), ("a", "expired")} <= got and ("c", "expired") not in got and ("b", "expired") not in got
+    assert streams.first_seen(spark.createDataFrame([("a", base), ("a", base)], "uri string, ts timestamp")).count() == 1
+
+
+def test_editor(spark):
+    from lintlake.plans.editor import analysed, diagnostics, guide
+
+    rows = spark.createDataFrame([("R", "critical", 1, "unused x"), (None, "info", None, None)], "rule_id string, severity string, line int, match string")
+    assert [(r["line"], r["level"], r["code"], r["tags"]) for r in diagnostics(rows, "rules").collect()] == [(0, 1, "lintlake/rules/R", ["unnecessary"]), (0, 4, "lintlake/rules/?", [])]
+    files = spark.createDataFrame([(1, f) for f in ("package.json", "requirements.txt", "src/main.py", "README.md")], "id int, file string")
+    r = guide(files, ["id"]).first()
+    assert (r["entry_points"], r["setup"], r["key_files"], r["files"]) == (["src/main.py"], "pip install -r requirements.txt", ["README.md", "package.json", "requirements.txt"], 4)
+    assert [r[0] for r in files.select(analysed(F.col("file"))).collect()] == [False, False, True, False]
