@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lintlake.llm.kernel import IS_DIGIT, IS_LETTER, IS_SPACE, LOWER, count_in, mix, portions, text_buffer, words_of
+from lintlake.llm.kernel import IS_DIGIT, IS_LETTER, IS_SPACE, LOWER, Words, count_in, mix, portions, text_buffer, words_of
 from lintlake.sources.tables import materialize
 
 CLASSES = ("generated", "minified", "vendored", "data")
@@ -317,21 +317,44 @@ def train(files: list[tuple]) -> Model:
 # ---- copies in other projects
 
 SLOTS, BANDS, SHINGLE = 120, 20, 5
-_SIMILAR, _LEAST_WORDS = 0.8, 15
+_SIMILAR = 0.8
+_BLOCK, _FIRST = 512, 2
+
+
+def _distinct_grams(found: Words) -> tuple[np.ndarray, np.ndarray]:
+    """(text, shingle) of every distinct shingle of each text, ordered by both."""
+    grams, at = found.grams(SHINGLE)
+    text = found.text[at]
+    order = np.argsort(grams, kind="stable")
+    order = order[np.argsort(text[order], kind="stable")]
+    text, grams = text[order], grams[order]
+    fresh = np.r_[True, (text[1:] != text[:-1]) | (grams[1:] != grams[:-1])] if len(text) else np.zeros(0, bool)
+    return text[fresh], grams[fresh]
 
 
 def sketches(masked: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(signatures of SLOTS 16-bit numbers, number of shingles): one-permutation MinHash over shingles of five words."""
+    """(signatures of SLOTS 16-bit numbers, number of distinct shingles): one-permutation MinHash over shingles of five words."""
+    signatures, count, _ = _sketched(masked)
+    return signatures, count
+
+
+def _sketched(masked: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Signatures, numbers of distinct shingles, and a hash that texts of the same shingles share: of the set of
+    shingles, or of all words where there are fewer than a shingle has; 0 for texts without a word."""
     found = words_of(*text_buffer(masked))
     n = len(masked)
-    grams, at = found.grams(SHINGLE)
-    text = found.text[at]
+    text, grams = _distinct_grams(found)
     count = np.bincount(text, minlength=n)[:n]
+    whole = np.zeros(n, np.uint64)
+    np.add.at(whole, text, mix(grams * np.uint64(0x9E3779B97F4A7C15)))
+    first = found.first_of()
+    place = np.arange(len(found.hash)) - first[found.text]
+    few = (count == 0)[found.text]
+    np.add.at(whole, found.text[few], mix(found.hash[few] * np.uint64(0x9E3779B97F4A7C15) + place[few].astype(np.uint64) + np.uint64(1)))
+    whole = np.where(np.diff(first) > 0, mix(whole + count.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)) | np.uint64(1), np.uint64(0))
     slot = ((grams >> np.uint64(40)) * np.uint64(SLOTS) >> np.uint64(24)).astype(np.int64)
     low = (grams & np.uint64((1 << 40) - 1)).astype(np.int64)
-    key = text * SLOTS + slot
-    order = np.argsort(key, kind="stable")
-    key, low = key[order], low[order]
+    key = text * SLOTS + slot  # ascending, as the shingles of each text are
     least = np.full(n * SLOTS, -1, np.int64)
     if len(key):
         start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
@@ -346,7 +369,7 @@ def sketches(masked: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     far = np.where(nxt >= 4 * SLOTS, 0, nxt - place[:SLOTS])
     value = np.take_along_axis(least, np.minimum(nxt, 2 * SLOTS - 1) % SLOTS, 1)
     mixed = mix(value.astype(np.uint64) * np.uint64(2654435761) + far.astype(np.uint64))
-    return (mixed & np.uint64(0xFFFF)).astype(np.uint16), count
+    return (mixed & np.uint64(0xFFFF)).astype(np.uint16), count, whole
 
 
 def band_keys(signatures: np.ndarray) -> np.ndarray:
@@ -361,20 +384,62 @@ def band_keys(signatures: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
-def copied_sketches(sketched: DataFrame) -> DataFrame:
-    """sid of every sketch that another project holds too, equal or at a similarity of 0.8 or more.
+def _near(seek: np.ndarray, held: np.ndarray, n_seek: np.ndarray, n_held: np.ndarray) -> np.ndarray:
+    """Share of equal slots of each pair, 0 where it lies four standard errors below the similarity sought; texts
+    of few shingles have larger errors."""
+    share = np.empty((len(seek), len(held)), np.float32)
+    step = max(1, (8 << 20) // max(held.size, 1))
+    for a in range(0, len(seek), step):
+        share[a : a + step] = (seek[a : a + step, None, :] == held[None, :, :]).mean(2, dtype=np.float32)
+    least = np.minimum(np.minimum(n_seek[:, None], n_held[None, :]), SLOTS)
+    error = np.sqrt(_SIMILAR * (1 - _SIMILAR) / np.maximum(least, 1))
+    return np.where(share >= _SIMILAR - 4 * error, share, 0)
+
+
+def _candidates(first: int | None):
+    """Over rows ordered by unit (unit, sid, own, seeks, held, n, sig): pairs of a unit that may be copies, for each
+    seeking row the `first` nearest (None: all) of other projects, and whether there are more."""
+
+    def pairs(group: pa.Table) -> Iterator[pa.RecordBatch]:
+        sid, own, n = (group.column(k).to_numpy() for k in ("sid", "own", "n"))
+        seeks, held = (np.flatnonzero(group.column(k).to_numpy()) for k in ("seeks", "held"))
+        if not len(seeks) or not len(held):
+            return
+        sig = np.frombuffer(b"".join(group.column("sig").to_pylist()), np.uint16).reshape(-1, SLOTS)
+        for a in range(0, len(seeks), _BLOCK):
+            some = seeks[a : a + _BLOCK]
+            near = _near(sig[some], sig[held], n[some], n[held])
+            near[(sid[some][:, None] == sid[held][None, :]) | (own[some][:, None] == own[held][None, :]) & (own[some][:, None] != 0)] = 0
+            total = (near > 0).sum(1)
+            if first is not None and near.shape[1] > first:
+                bar = -np.partition(-near, first - 1, axis=1)[:, first - 1]
+                near[near < bar[:, None]] = 0
+                above, even = (near > bar[:, None]).sum(1), (near == bar[:, None]) & (near > 0)
+                near[even & (np.cumsum(even, axis=1) > first - above[:, None])] = 0
+            i, j = np.nonzero(near)
+            yield pa.RecordBatch.from_arrays([pa.array(sid[some][i]), pa.array(sid[held][j]), pa.array(near[i, j]), pa.array(total[i] > (len(held) if first is None else first))], names=["sid", "other", "share", "more"])
 
-    sketched: root, sid, sig, bands. Equal sketches are one row with its least and greatest root. Of
-    each band bucket only the rows with the least and the greatest root are compared with its
-    members, so no bucket is paired out and each member meets one of another project if there is
-    any; candidates are verified on the whole signatures."""
-    one = sketched.groupBy("sid").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
-    one = materialize(one, "sketches")
-    rows = one.select("sid", "lo", "hi", F.explode("bands").alias("band"))
-    buckets = rows.groupBy("band").agg(F.min(F.struct("lo", "sid")).alias("a"), F.max(F.struct("hi", "sid")).alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1 and a.lo != b.hi")
-    met = rows.join(buckets, "band").select("sid", F.when((F.col("a.lo") != F.col("lo")) | (F.col("a.lo") != F.col("hi")), F.col("a.sid")).otherwise(F.col("b.sid")).alias("other")).where("sid != other").distinct()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: list[pa.RecordBatch] = []  # of the unit that the last batch did not end
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            unit = batch.column(0).to_numpy()
+            cuts = [0, *(np.flatnonzero(unit[1:] != unit[:-1]) + 1).tolist(), len(unit)]
+            for a, b in zip(cuts, cuts[1:]):
+                if kept and kept[-1].column(0)[0].as_py() != unit[a]:
+                    yield from pairs(pa.Table.from_batches(kept))
+                    kept = []
+                kept.append(batch.slice(a, b - a))
+        if kept:
+            yield from pairs(pa.Table.from_batches(kept))
+
+    return run
+
+
+def _same(pairs: DataFrame, one: DataFrame) -> DataFrame:
+    """sid of both texts of every pair (sid, other) whose signatures agree."""
     sig = one.select("sid", "sig")
-    pairs = met.join(sig, "sid").join(sig.select(F.col("sid").alias("other"), F.col("sig").alias("sig2")), "other")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -383,8 +448,47 @@ def copied_sketches(sketched: DataFrame) -> DataFrame:
                 near = pa.array((a == b).mean(1) >= _SIMILAR - 0.04)  # the estimate's standard error
                 yield pa.RecordBatch.from_arrays([pc.filter(batch.column(0), near), pc.filter(batch.column(1), near)], names=["sid", "other"])
 
-    same = pairs.select("sid", "other", "sig", "sig2").mapInArrow(verify, "sid bigint, other bigint")
-    return same.select(F.explode(F.array("sid", "other")).alias("sid")).unionAll(one.where("lo != hi").select("sid")).distinct()
+    both = pairs.select("sid", "other").join(sig, "sid").join(sig.select(F.col("sid").alias("other"), F.col("sig").alias("sig2")), "other")
+    same = both.select("sid", "other", "sig", "sig2").mapInArrow(verify, "sid bigint, other bigint")
+    return same.select(F.explode(F.array("sid", "other")).alias("sid")).distinct()
+
+
+def copied_sketches(sketched: DataFrame) -> DataFrame:
+    """sid of every text that another project holds too, equal or at an estimated similarity of 0.8 or more.
+
+    sketched: root, sid, tid (the hash of the content), n (shingles), sig, bands. Texts of
+    equal shingles are one row. The sketches name candidates, those that share a band bucket with a row of another
+    project, and decide. Every member of a bucket meets every other one unless it has met a copy: first
+    blocks of a bucket are paired out and each member's nearest candidates verified, then the members
+    without a copy meet the whole bucket, in units of bounded size. A null root is one project."""
+    one = sketched.withColumn("root", F.coalesce("root", F.lit(""))).groupBy("sid").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("tid").alias("tid"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
+    one = materialize(one, "sketches")
+    rows = one.select("sid", "lo", "hi", F.explode("bands").alias("band"))
+    buckets = rows.groupBy("band").agg(F.count(F.lit(1)).alias("size"), F.min("lo").alias("a"), F.max("hi").alias("b")).where("size > 1 and a != b").select("band", F.ceil(F.col("size") / _BLOCK).alias("blocks"))
+    met = rows.join(buckets, "band").select("band", "blocks", "sid", F.expr("pmod(xxhash64(sid, 7), blocks)").alias("block"))
+    met = materialize(met, "buckets")
+    # own is 0 where several projects hold the text: it has its copy, and any other text may be one of it
+    held = one.select("sid", F.when(F.col("lo") == F.col("hi"), F.xxhash64("lo")).otherwise(0).alias("own"), "n", "sig")
+
+    def paired(units: DataFrame, first: int | None) -> DataFrame:
+        rows = units.join(held, "sid").select("unit", "sid", "own", (F.col("seeks") & (F.col("own") != 0)).alias("seeks"), "held", "n", "sig")
+        return rows.repartition("unit").sortWithinPartitions("unit").mapInArrow(_candidates(first), "sid bigint, other bigint, share float, more boolean")
+
+    blocks = met.select(F.xxhash64("band", "block").alias("unit"), "sid", F.lit(True).alias("seeks"), F.lit(True).alias("held"))
+    found = paired(blocks, _FIRST).groupBy("sid").agg(F.collect_set(F.struct("share", "other")).alias("all"), F.max("more").alias("more"))
+    found = materialize(found.select("sid", F.expr(f"transform(slice(sort_array(all, false), 1, {_FIRST}), x -> x.other)").alias("others"), F.expr(f"more or size(all) > {_FIRST}").alias("more")), "near")
+    done = one.where("lo != hi").select("sid").unionAll(_same(found.select("sid", F.explode("others").alias("other")), one)).distinct()
+    done = materialize(done, "copied")
+    left = met.where("blocks > 1").select("sid").unionAll(found.where("more").select("sid")).distinct().join(done, "sid", "left_anti")
+    left = materialize(left, "left")
+    if left.isEmpty():
+        return done
+    seek = met.join(left, "sid").select("band", "blocks", "sid", "block")
+    wide = seek.select("band", "block").distinct().withColumnRenamed("block", "seek_block")
+    units = seek.select(F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1)).alias("held_block"), "band", F.col("block").alias("seek_block"), "sid").select(F.xxhash64("band", "seek_block", "held_block").alias("unit"), "sid", F.lit(True).alias("seeks"), F.lit(False).alias("held"))
+    units = units.unionAll(met.join(wide, "band").select(F.xxhash64("band", "seek_block", "block").alias("unit"), "sid", F.lit(False).alias("seeks"), F.lit(True).alias("held")))
+    late = materialize(paired(units, None).select("sid", "other").distinct(), "rest")
+    return done.unionAll(_same(late, one)).distinct()
 
 
 # ---- the operator
@@ -424,7 +528,7 @@ def not_handwritten(files: DataFrame, model: Model) -> DataFrame:
     """
     spark = files.sparkSession
     shared = spark.sparkContext.broadcast((model.weights, model.bias))
-    schema = T.StructType([T.StructField("snapshot_id", files.schema["snapshot_id"].dataType), T.StructField("root", T.StringType()), T.StructField("file", T.StringType()), T.StructField("svm_score", T.DoubleType()), T.StructField("score", T.DoubleType()), T.StructField("kind", T.StringType()), T.StructField("giveaway", T.BooleanType()), T.StructField("sid", T.LongType()), T.StructField("sig", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType()))])
+    schema = T.StructType([T.StructField("snapshot_id", files.schema["snapshot_id"].dataType), T.StructField("root", T.StringType()), T.StructField("file", T.StringType()), T.StructField("svm_score", T.DoubleType()), T.StructField("score", T.DoubleType()), T.StructField("kind", T.StringType()), T.StructField("giveaway", T.BooleanType()), T.StructField("sid", T.LongType()), T.StructField("tid", T.LongType()), T.StructField("n", T.LongType()), T.StructField("sig", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, bias = shared.value
@@ -443,23 +547,23 @@ def not_handwritten(files: DataFrame, model: Model) -> DataFrame:
             folder = np.array([[0.0, 0.0, 1.0, 0.0] if _COPY_FOLDER & set(p.lower().split("/")[:-1]) else [0.0] * len(CLASSES) for p in paths])
             total = svm + 2.0 * named + folder
             best = total.argmax(1)
-            signatures, count = sketches(text)
-            sid = mix(np.bitwise_xor.reduce(band_keys(signatures).view(np.uint64) * (2 * np.arange(BANDS, dtype=np.uint64) + np.uint64(1)), axis=1)).view(np.int64)
-            far = count < _LEAST_WORDS - SHINGLE + 1
+            signatures, count, whole = _sketched(text)
             bands = band_keys(signatures)
-            flat = pa.ListArray.from_arrays(pa.array(np.arange(0, len(paths) * BANDS + 1, BANDS, dtype=np.int32)), pa.array(bands.ravel()))
+            # texts of fewer words than a shingle has are copies if equal; they are in no bucket
+            per = np.where(count > 0, BANDS, 0)
+            flat = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(per)].astype(np.int32)), pa.array(bands[count > 0].ravel()))
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0), batch.column(1), batch.column(2),
                     pa.array(svm.max(1).astype(np.float64)), pa.array(total.max(1).astype(np.float64)), pa.array([CLASSES[k] for k in best]), pa.array(named.any(1)),
-                    pa.array(sid, pa.int64(), mask=far), pa.array([s.tobytes() for s in signatures], pa.binary()), flat,
+                    pa.array(whole.view(np.int64), pa.int64(), mask=whole == 0), batch.column(5), pa.array(count.astype(np.int64)), pa.array([s.tobytes() for s in signatures], pa.binary()), flat,
                 ],
                 names=schema.names,
             )
 
-    seen = files.select("snapshot_id", "root", "file", "content", "structure").where("content is not null").mapInArrow(run, schema)
+    seen = files.select("snapshot_id", "root", "file", "content", "structure", F.xxhash64("content").alias("tid")).where("content is not null").mapInArrow(run, schema)
     seen = materialize(seen, "files")
-    copies = copied_sketches(seen.where("sid is not null").select("root", "sid", "sig", "bands")).withColumn("copied", F.lit(True))
-    judged = seen.drop("sig", "bands", "root").join(copies, "sid", "left").withColumn("copied", F.coalesce("copied", F.lit(False)))
+    copies = copied_sketches(seen.where("sid is not null").select("root", "sid", "tid", "n", "sig", "bands")).withColumn("copied", F.lit(True))
+    judged = seen.drop("tid", "n", "sig", "bands", "root").join(copies, "sid", "left").withColumn("copied", F.coalesce("copied", F.lit(False)))
     score = F.col("score") + F.when(F.col("copied"), 2.0).otherwise(0.0)
     return judged.select("snapshot_id", "file", score.alias("score"), F.when(F.col("copied") & (F.col("score") <= 0), "vendored").otherwise(F.col("kind")).alias("kind"), "svm_score", "giveaway", "copied")

@@ -96,3 +96,35 @@ def test_operator(spark):
     plain_ones = [v for (k, p), v in out.items() if p and p.startswith("src/") and not v.copied and not p.endswith("_pb.py") and "own" not in p]
     assert sum(v.score > 0 for v in plain_ones) <= 0.03 * len(plain_ones)
     assert h.not_handwritten(files.where("snapshot_id < 0"), h.fit(files.where("snapshot_id < 0"))).count() == 0
+
+
+PLAIN = h.Model(np.zeros((h.WIDTH, len(h.CLASSES)), np.float32), np.full(len(h.CLASSES), -1.0, np.float32), [])
+
+
+def copied(spark, texts):
+    """Which of the (root, text) are found to be copies."""
+    rows = [(i, r, f"{i}.py", t, None) for i, (r, t) in enumerate(texts)]
+    files = spark.createDataFrame(rows, "snapshot_id int, root string, file string, content string, structure string").repartition(4)
+    return {x.snapshot_id for x in h.not_handwritten(files, PLAIN).collect() if x.copied}
+
+
+def spoiled(base, r, share):
+    return [w if r.random() > share else "n" + str(r.randint(0, 10**9)) for w in base]
+
+
+def jaccard(a, b):
+    x, y = ({hash(tuple(t[i : i + 5])) for i in range(len(t) - 4)} for t in (a, b))
+    return len(x & y) / len(x | y)
+
+
+def test_a_copy_behind_loosely_similar_files(spark, monkeypatch):
+    r = random.Random(12)
+    base = ["w" + str(r.randint(0, 10**6)) for _ in range(400)]
+    family = [t for t in (spoiled(base, r, 0.05) for _ in range(300)) if 0.55 < jaccard(t, base) < 0.65]
+    pair = [base, base[:-3] + ["a", "b", "c"]]
+    own = {len(family), len(family) + 1}
+    assert jaccard(*pair) > 0.9 and len(family) > 100
+    texts = [(f"a-{i:03}", " ".join(t)) for i, t in enumerate(family)] + [("m-1", " ".join(pair[0])), ("m-2", " ".join(pair[1]))]
+    assert copied(spark, texts) == own
+    monkeypatch.setattr(h, "_BLOCK", 8, raising=False)  # hot buckets: a copy may lie in another block
+    assert copied(spark, texts) == own
