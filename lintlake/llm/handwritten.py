@@ -319,6 +319,7 @@ def train(files: list[tuple]) -> Model:
 SLOTS, BANDS, SHINGLE = 120, 20, 5
 _SIMILAR = 0.8
 _BLOCK, _FIRST = 512, 2
+_BITS = 1 << 26
 
 
 def _distinct_grams(found: Words) -> tuple[np.ndarray, np.ndarray]:
@@ -437,28 +438,66 @@ def _candidates(first: int | None):
     return run
 
 
-def _same(pairs: DataFrame, one: DataFrame) -> DataFrame:
-    """sid of both texts of every pair (sid, other) whose signatures agree."""
-    sig = one.select("sid", "sig")
+def _shingled(files: DataFrame, wanted: DataFrame) -> DataFrame:
+    """sid and shingles (distinct, ascending, 8 bytes each) of the wanted texts (sid, tid). The texts are read once
+    more and not shuffled: what is sent to the tasks is a bit map of tid of fixed size."""
 
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def bits_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[int, np.ndarray] = {}
         for batch in batches:
-            if batch.num_rows:
-                a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint16).reshape(-1, SLOTS) for k in (2, 3))
-                near = pa.array((a == b).mean(1) >= _SIMILAR - 0.04)  # the estimate's standard error
-                yield pa.RecordBatch.from_arrays([pc.filter(batch.column(0), near), pc.filter(batch.column(1), near)], names=["sid", "other"])
+            at = batch.column(0).to_numpy()
+            for piece in np.unique(at >> 16):
+                seen.setdefault(int(piece), np.zeros(1 << 16, bool))[at[at >> 16 == piece] & 0xFFFF] = True
+        for piece, flags in seen.items():
+            yield pa.RecordBatch.from_arrays([pa.array([piece], pa.int64()), pa.array([np.packbits(flags).tobytes()], pa.binary())], names=["piece", "bits"])
+
+    places = wanted.select(F.expr(f"pmod(tid, {_BITS})").cast("long").alias("place")).repartition(F.expr("place div 65536"))
+    bits = {r["piece"]: r["bits"] for r in places.mapInArrow(bits_of, "piece bigint, bits binary").toLocalIterator()}
+    shared = files.sparkSession.sparkContext.broadcast(bits)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = {k: np.unpackbits(np.frombuffer(v, np.uint8)).astype(bool) for k, v in shared.value.items()}
+        for batch in (part for whole in batches for part in portions(whole, 1, 1 << 20)):
+            at = batch.column(0).to_numpy() % _BITS
+            hit = [i for i, p in enumerate(at.tolist()) if (flags := known.get(p >> 16)) is not None and flags[p & 0xFFFF]]
+            if hit:
+                own = batch.take(pa.array(hit))
+                text, grams = _distinct_grams(words_of(*text_buffer(pa.array([giveaways(t)[2] for t in own.column(1).to_pylist()], pa.large_string()))))
+                edge = np.searchsorted(text, np.arange(len(hit) + 1))
+                yield pa.RecordBatch.from_arrays([own.column(0), pa.array([grams[a:b].tobytes() for a, b in zip(edge, edge[1:])], pa.binary())], names=["tid", "grams"])
+
+    texts = files.where("content is not null").select(F.xxhash64("content").alias("tid"), "content").mapInArrow(run, "tid bigint, grams binary")
+    return texts.join(wanted, "tid").groupBy("sid").agg(F.first("grams").alias("grams"))
+
+
+def _same(pairs: DataFrame, one: DataFrame, files: DataFrame) -> DataFrame:
+    """sid of both texts of every pair (sid, other) whose sets of shingles have a Jaccard similarity of 0.8 or more."""
+    pairs = pairs.select(F.least("sid", "other").alias("sid"), F.greatest("sid", "other").alias("other")).distinct()
+    wanted = pairs.select(F.explode(F.array("sid", "other")).alias("sid")).distinct().join(one.select("sid", "tid"), "sid")
+    grams = materialize(_shingled(files, materialize(wanted, "wanted")), "shingles")
 
-    both = pairs.select("sid", "other").join(sig, "sid").join(sig.select(F.col("sid").alias("other"), F.col("sig").alias("sig2")), "other")
-    same = both.select("sid", "other", "sig", "sig2").mapInArrow(verify, "sid bigint, other bigint")
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for a, b in zip(batch.column(2), batch.column(3)):
+                x, y = (np.frombuffer(v.as_py(), np.uint64) for v in (a, b))
+                common = len(np.intersect1d(x, y, assume_unique=True)) if min(len(x), len(y)) >= _SIMILAR * max(len(x), len(y)) else 0
+                keep.append(common > 0 and common * 5 >= 4 * (len(x) + len(y) - common))
+            kept = pa.array(keep, pa.bool_())
+            yield pa.RecordBatch.from_arrays([pc.filter(batch.column(0), kept), pc.filter(batch.column(1), kept)], names=["sid", "other"])
+
+    both = pairs.join(grams, "sid").join(grams.select(F.col("sid").alias("other"), F.col("grams").alias("grams2")), "other")
+    same = both.select("sid", "other", "grams", "grams2").mapInArrow(verify, "sid bigint, other bigint")
     return same.select(F.explode(F.array("sid", "other")).alias("sid")).distinct()
 
 
-def copied_sketches(sketched: DataFrame) -> DataFrame:
-    """sid of every text that another project holds too, equal or at an estimated similarity of 0.8 or more.
+def copied_sketches(sketched: DataFrame, files: DataFrame) -> DataFrame:
+    """sid of every text that another project holds too, equal or at a Jaccard similarity of 0.8 or more of the shingles.
 
-    sketched: root, sid, tid (the hash of the content), n (shingles), sig, bands. Texts of
-    equal shingles are one row. The sketches name candidates, those that share a band bucket with a row of another
-    project, and decide. Every member of a bucket meets every other one unless it has met a copy: first
+    sketched: root, sid, tid (the hash of the content), n (shingles), sig, bands; files: root, content. Texts of
+    equal shingles are one row. The sketches only name candidates, those that share a band bucket with a
+    row of another project and whose signatures are not four standard errors too far apart; the shingles
+    of each decide. Every member of a bucket meets every other one unless it has met a copy: first
     blocks of a bucket are paired out and each member's nearest candidates verified, then the members
     without a copy meet the whole bucket, in units of bounded size. A null root is one project."""
     one = sketched.withColumn("root", F.coalesce("root", F.lit(""))).groupBy("sid").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("tid").alias("tid"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
@@ -477,7 +516,7 @@ def copied_sketches(sketched: DataFrame) -> DataFrame:
     blocks = met.select(F.xxhash64("band", "block").alias("unit"), "sid", F.lit(True).alias("seeks"), F.lit(True).alias("held"))
     found = paired(blocks, _FIRST).groupBy("sid").agg(F.collect_set(F.struct("share", "other")).alias("all"), F.max("more").alias("more"))
     found = materialize(found.select("sid", F.expr(f"transform(slice(sort_array(all, false), 1, {_FIRST}), x -> x.other)").alias("others"), F.expr(f"more or size(all) > {_FIRST}").alias("more")), "near")
-    done = one.where("lo != hi").select("sid").unionAll(_same(found.select("sid", F.explode("others").alias("other")), one)).distinct()
+    done = one.where("lo != hi").select("sid").unionAll(_same(found.select("sid", F.explode("others").alias("other")), one, files)).distinct()
     done = materialize(done, "copied")
     left = met.where("blocks > 1").select("sid").unionAll(found.where("more").select("sid")).distinct().join(done, "sid", "left_anti")
     left = materialize(left, "left")
@@ -488,7 +527,7 @@ def copied_sketches(sketched: DataFrame) -> DataFrame:
     units = seek.select(F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1)).alias("held_block"), "band", F.col("block").alias("seek_block"), "sid").select(F.xxhash64("band", "seek_block", "held_block").alias("unit"), "sid", F.lit(True).alias("seeks"), F.lit(False).alias("held"))
     units = units.unionAll(met.join(wide, "band").select(F.xxhash64("band", "seek_block", "block").alias("unit"), "sid", F.lit(False).alias("seeks"), F.lit(True).alias("held")))
     late = materialize(paired(units, None).select("sid", "other").distinct(), "rest")
-    return done.unionAll(_same(late, one)).distinct()
+    return done.unionAll(_same(late, one, files)).distinct()
 
 
 # ---- the operator
@@ -519,8 +558,9 @@ def not_handwritten(files: DataFrame, model: Model) -> DataFrame:
 
     files: snapshot_id, root (the project), file, content, structure. The score is that of the
     strongest classifier plus 2 for a header, suffix or neighbour that names the class, plus 1 for a folder
-    of third-party code, plus 2 for a copy in another project. Two passes over the texts at most (fit reads a sample), whole texts, no text is shuffled: only
-    sketches of 240 bytes and scores are. Returns snapshot_id, file, score, kind, svm_score, giveaway, copied.
+    of third-party code, plus 2 for a copy in another project. Three to four passes over the texts (fit reads a sample; one or two read
+    the shingles of candidate copies), whole texts, no text is shuffled: only sketches of 240 bytes,
+    shingles of candidates and scores are. Returns snapshot_id, file, score, kind, svm_score, giveaway, copied.
 
     Defined results: null content gives no row; empty content scores by its path; equal rows are
     each reported; a null path counts as an empty one; a null structure names no neighbours; roots
@@ -563,7 +603,7 @@ def not_handwritten(files: DataFrame, model: Model) -> DataFrame:
 
     seen = files.select("snapshot_id", "root", "file", "content", "structure", F.xxhash64("content").alias("tid")).where("content is not null").mapInArrow(run, schema)
     seen = materialize(seen, "files")
-    copies = copied_sketches(seen.where("sid is not null").select("root", "sid", "tid", "n", "sig", "bands")).withColumn("copied", F.lit(True))
+    copies = copied_sketches(seen.where("sid is not null").select("root", "sid", "tid", "n", "sig", "bands"), files).withColumn("copied", F.lit(True))
     judged = seen.drop("tid", "n", "sig", "bands", "root").join(copies, "sid", "left").withColumn("copied", F.coalesce("copied", F.lit(False)))
     score = F.col("score") + F.when(F.col("copied"), 2.0).otherwise(0.0)
     return judged.select("snapshot_id", "file", score.alias("score"), F.when(F.col("copied") & (F.col("score") <= 0), "vendored").otherwise(F.col("kind")).alias("kind"), "svm_score", "giveaway", "copied")
