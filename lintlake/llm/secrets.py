@@ -103,9 +103,31 @@ _TELLS = re.compile(r"""(?i)(?<![\w/+=])(?:pw|pwd|pass|passw\w*|passphrase|secre
 _TOKEN = re.compile(r"""[^\s"'`<>()\[\]{},;|]{6,}""")
 _COMMENT = re.compile(r"""^[+\- ]?\s*(?:#|//|--|/?\*|<!--|;\s|rem\b|%\s)""", re.IGNORECASE)
 
-# Which lines to look at; in the syntax that both RE2 (over whole Arrow batches) and Python read.
-_LOOK = r"""[Pp]ass|PASS|[Pp]wd|PWD|[Pp]w\b|PW\b|[Ss]ecret|SECRET|[Tt]oken\b|TOKEN\b|[Kk]ey["'`\])]*\s*[:=,]|KEY["'`\])]*\s*[:=,]|[Bb]earer |[Bb]asic |://[^\s/"'@]*:[^\s/]*@|PRIVATE KEY|dentified by|IDENTIFIED BY|[Ll]ogin|[Ss]igns? in|pens with|rompts|\w\(["'`][\w\-]+(?:\.[\w\-]+)+(?::\d+)?["'`]\s*,|\w\(["'`]localhost["'`]|[Cc]redential|(?:AKIA|ASIA)[A-Z0-9]{16}|\bgh[opsru]_|\bxox[abposr]-|\b[sr]k_live_|\bSG\.[\w\-]{16}|\bAIza|\beyJ[\w\-]+\.|\bglpat-|\bnpm_|[Kk]ey (?:was|is)\b|uth header|\baccount\b|\s-u\s|\s-p[^\s]|atob\(|[Dd]ecode\w*\("""
-_LOOK_HERE = re.compile(_LOOK)
+# A literal that is given in the line after its name.
+_HEAD = re.compile(rf"""(?i)(?<![\w$])["'`\[]*(?P<name>{_NAME})["'`\]]*(?:\s*:\s*(?:str|string))?\s*(?:=>|:=|==?|:)\s*(?P<call>[\w.]*\(\s*)?\\?\s*$""")
+_NEXT = re.compile(rf"""\r?\n[+\- ]?[ \t]*(?:#|//|--)?[ \t]*b?{_QUOTED}{_JOIN}""")
+_DECODER = re.compile(r"""(?i)(?:atob|decode(?:64|string)?|base64(?:string)?|unhexlify|fromhex)\s*\(\s*$""")
+
+# Which lines to look at: whatever a rule above needs, case-blind, in the syntax that both RE2 (over whole Arrow
+# batches) and Python read. Each part lets through all that the rule named beside it takes.
+_KEYS = re.search(r"\(\?:(service\|[^)]*)\)\[_\\-\]\?key", _NAME)[1]
+_LOOK = "(?i)" + "|".join(
+    [
+        r"pass|pwd|pw\b|secret|token\b|credential",  # _NAME, _FLAG
+        rf"(?:api|{_KEYS})[_\-]?key\b",
+        r"key[\"'`\])]*\s*[:=,]",
+        r"://[^\s/\"'@]*:[^\s/]*@",  # _URL
+        r"\b(?:bearer|basic)\b",  # _SCHEME
+        r"identified|(?:^|[^\w\-])-p[^\s]",  # _FLAG
+        r"(?:^|[^\w\-])-u\s*[\"']?[^\s:\"']+:",  # _USERPASS
+        r"\([^\w\"'`()]*[\"'`](?:[^\s\"'`]+\.[^\s\"'`]+|localhost)[\"'`][^\w\"'`()]*,",  # _CALL
+        r"(?:atob|decode(?:64|string)?|base64(?:string)?|unhexlify|fromhex)[^\w\"'`()]*\(",  # _DECODE
+        r"private key",  # _PRIVATE
+        r"(?:akia|asia)[a-z0-9]{16}|gh[opsru]_|github_pat_|glpat-|xox[abposr]-|[sr]k_(?:live|prod)_|sg\.[^\s.]{16}|aiza|npm_|eyj[^\s.]{8,}\.eyj",  # _FORMAT
+        r"\b(?:key (?:was|is)|log(?:s|ged)? ?in|signs? in|signed in|opens? with|prompts?|type|unlock|using|account|api ?key|auth(?:entication|orization)? header|works only with|until)",  # _TELLS
+    ]
+)
+_LOOK_HERE = re.compile(_LOOK, re.ASCII)
 
 # ---- what a value looks like
 
@@ -217,6 +239,15 @@ def _spans(text: str, begin: int, end: int, judge: Judge) -> Iterator[tuple[int,
                     stop = after
             if judge.named(v) and not (_HEX.match(v) and len(v) in (32, 40, 64, 96, 128) and _HASH_CONTEXT.search(m["name"])):
                 yield begin + m.start("v"), stop, kind
+    head = _HEAD.search(line)
+    m = head and _NEXT.match(text, end)
+    if m:
+        v, stop, after = m["v"] + "".join(re.findall(r"""["'`]([^"'`]*)["'`]""", m["more"])), m.end("more") if m["more"] else m.end("v"), m.end()
+        while on := _GOES_ON.match(text, after):
+            v, after = v + on[2], on.end()
+            stop = after
+        if judge.encoded(v) if _DECODER.search(head["call"] or "") else judge.named(v) and not (_HEX.match(v) and len(v) in (32, 40, 64, 96, 128) and _HASH_CONTEXT.search(head["name"])):
+            yield m.start("v"), stop, "named literal"
     for m in _BARE.finditer(line):
         v = m["v"].rstrip(".,")
         if v[:1] in "$*<%" or "(" in m["rest"][:1] or re.match(r"^[A-Za-z_][\w]*(?:\.[A-Za-z_]\w*)+$", v) and not re.search(r"\d{2}", v) or re.match(r"^[a-z]+(?:_[a-z]+)*$|^[a-z]+[A-Z]\w*$", v) and not re.search(r"\d", v) and judge.words.residual(v) < 4:
@@ -278,7 +309,7 @@ def find_secrets(text: str, judge: Judge, look: list[int] | None = None) -> list
                     done = hit.end() + 300
         for a, b, kind in sorted(spans, key=lambda s: (s[0], -s[1])):
             if not found or a >= found[-1].end:
-                found.append(Found(i + 1, a, b, kind))
+                found.append(Found(i + 1 + text.count("\n", begin, a), a, b, kind))
     return found
 
 

@@ -102,3 +102,38 @@ def test_operators(spark):
     assert sorted(tuple(r)[:3] for r in secrets_in(df, "content", ["id", "file"]).collect()) == [(1, "a", 1)] * 2
     assert [tuple(r) for r in redacted(df, "content", ["id"]).collect()] == [(1, f'password = "{REDACTED}"', 1)] * 2
     assert secrets_in(df.where("id < 0"), "content", ["id"]).count() == 0
+
+
+# A line for each rule, in the spellings that the rule takes.
+RULES = """x = f("github_pat_11ABCDEFG0aZ8kQ2wLr5Tx_9vB3nM7")
+x = f("sk_prod_9aZ8kQ2wLr5Tx")
+x = f("rk_prod_9aZ8kQ2wLr5Tx")
+<api-key>GjFYj4ZlT0g7Su</api-key>
+<ApiKey>GjFYj4ZlT0g7Su</ApiKey>
+deploy --api-key zXf82kQpLm9
+curl -ubob_12:zXf82kQpLm9 https://x.example
+-u bob_12:zXf82kQpLm9 https://x.example
+x = fromhex("cXVvYm9fNDAwNDp3X3d6cUNGRUNY")
+x = unhexlify("cXVvYm9fNDAwNDp3X3d6cUNGRUNY")
+x = FromBase64String("cXVvYm9fNDAwNDp3X3d6cUNGRUNY")
+send("BEARER EYeSwlNh00noj3cw7OFJlFxKWXskpFDI")
+# to unlock it: uNx8RkP4QeYk!
+# type uNx8RkP4QeYk! when it asks
+# log in as bob with uNx8RkP4QeYk!
+connect( 'db.example', 'user_1', 'Ledger*Brisk8004')""".split("\n")
+
+
+@pytest.mark.parametrize("line", RULES)
+def test_every_rule_passes_the_filter(line):
+    text = "x = 1\n" + line + "\ny"
+    assert dict(lines_to_look_at(pa.array([text]))).get(0) == [1]
+    assert [f.line for f in find_secrets(text, JUDGE)] == [2]
+
+
+def test_a_literal_in_the_line_after_its_name():
+    for head, tail in (("password = (", ")"), ("+  db_password: str = \\", ""), ("'apiKey' =>", ","), ("secret_key:", "")):
+        text = f'a\n{head}\n{head[:1].strip("psa")[:1] if head[0] == "+" else ""}    "Trestle&Hollow9367"\n{tail}\n'
+        found = find_secrets(text, JUDGE)
+        assert [(f.line, text[f.start : f.end]) for f in found] == [(3, "Trestle&Hollow9367")], head
+        assert REDACTED in redact(text, found) and "Trestle" not in redact(text, found)
+    assert find_secrets('password = (\n    "${DB_PASSWORD}"\n)\nclass Token:\n    "Trestle&Hollow words"\n', JUDGE) == []
