@@ -14,7 +14,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -541,18 +541,35 @@ def _siblings(structure: str | None, path: str, cache: dict) -> set[str]:
     return cache[structure].get(path.rpartition("/")[0], set())
 
 
-def fit(files: DataFrame, projects: DataFrame | None = None, *, train_repositories: int = 300, train_chars: int = 200_000) -> Model:
-    """Classifiers from the files of about train_repositories repositories (chosen by the hash of their
-    root), none longer than train_chars characters: the documented bound of what is learned from. projects
-    (a column root) spares counting them in the files."""
+def fit(files: DataFrame, projects: DataFrame | None = None, *, train_repositories: int = 300, train_chars: int = 200_000, root_files: int = 200, train_files: int = 8_000, train_total: int = 50_000_000) -> Model:
+    """Classifiers from the files of about train_repositories repositories (chosen by the hash of their root). projects
+    (a column root) spares counting them in the files.
+
+    The documented bound of what is learned from: no file longer than train_chars characters, of a repository
+    at most root_files distinct files, at most train_files files and train_total characters in all. Where a bound is
+    met, the files of the least hashes are taken; all that happens before anything reaches the driver."""
     roots = max(int((files if projects is None else projects).select("root").distinct().count()), 1)
     share = min(1.0, train_repositories / roots)
-    picked = files.where(F.expr(f"pmod(xxhash64(root), 1000000) < {int(share * 1_000_000)} AND length(content) <= {train_chars:d}")).select("root", "file", "content", "structure", "snapshot_id")
+    picked = _sample(files.where(F.expr(f"pmod(xxhash64(root), 1000000) < {int(share * 1_000_000)} AND length(content) <= {train_chars:d}")), root_files, train_files, train_total)
     cache: dict = {}
-    rows = [(r, f, c, _siblings(s, f, cache)) for r, f, c, s, _ in sorted({(r["root"] or "", r["file"] or "", r["content"], r["structure"], r["snapshot_id"]) for r in picked.toLocalIterator()}, key=lambda t: (t[0], t[1], str(t[4])))]
+    rows = [(r, f, c, _siblings(s, f, cache)) for r, f, c, s, _ in sorted(((r["root"], r["file"], r["content"], r["structure"], r["snapshot_id"]) for r in picked.toLocalIterator()), key=lambda t: (t[0], t[1], str(t[4]), t[2]))]
     return train(rows)
 
 
+def _sample(files: DataFrame, root_files: int, train_files: int, train_total: int) -> DataFrame:
+    """root, file, content, structure and snapshot_id of at most so many files; rows that are sent again count once.
+
+    Files are ranked by hashes in tables without contents, whose rows are limited before they are shuffled; the
+    contents are then picked by a join with the few names that remain."""
+    files = files.select(F.coalesce("root", F.lit("")).alias("root"), F.coalesce("file", F.lit("")).alias("file"), "content", "structure", "snapshot_id").withColumn("key", F.xxhash64("root", "file", "content", "structure", "snapshot_id"))
+    names = files.select("root", "key", F.length("content").alias("size"))
+    own = names.withColumn("place", F.dense_rank().over(Window.partitionBy("root").orderBy("key"))).where(f"place <= {root_files:d}").groupBy("key").agg(F.first("size").alias("size"))
+    few = own.orderBy("key").limit(train_files)
+    total = F.sum("size").over(Window.orderBy("key").rowsBetween(Window.unboundedPreceding, 0))
+    few = few.withColumn("total", total).where(f"total <= {train_total:d}").select("key")
+    return files.join(F.broadcast(few), "key", "left_semi").dropDuplicates(["key"]).drop("key")
+
+
 def not_handwritten(files: DataFrame, model: Model) -> DataFrame:
     """One row for each file: its score (above 0: not written by hand here), the class, and what spoke for it.
 

@@ -152,3 +152,20 @@ def test_the_shingles_decide_not_the_sketch(spark):
 def test_short_texts_are_copies_if_equal(spark):
     texts = [("a", "from core import everything"), ("b", "from core import everything\n"), ("c", "from core import nothing"), ("a", "one two three four five six"), ("c", "one two three four five six"), ("c", "one two three four five eight"), ("a", ""), ("b", ""), ("a", "same here"), ("a", "same  here")]
     assert copied(spark, texts) == {0, 1, 3, 4}
+
+
+def test_what_is_learned_from_is_bounded(spark, monkeypatch):
+    rows = [(k, "big", f"src/{k}.py", f"x = {k}\n" * 5, None) for k in range(400)] + [(k % 3, f"r{k}", "a.py", f"y = {k}\n", None) for k in range(30)] * 2
+    files = spark.createDataFrame(rows, "snapshot_id int, root string, file string, content string, structure string").repartition(4)
+    seen = []
+    monkeypatch.setattr(h, "train", lambda files: seen.append(files))
+    h.fit(files)
+    assert len(seen[0]) == 230 and sum(f[0] == "big" for f in seen[0]) == 200  # the rest in whole, each row once
+    h.fit(files, root_files=10)
+    assert len(seen[1]) == 40 and sum(f[0] == "big" for f in seen[1]) == 10
+    h.fit(files, train_files=25)
+    assert len(seen[2]) == 25
+    h.fit(files, train_total=300)
+    assert 0 < sum(len(f[2]) for f in seen[3]) <= 300
+    h.fit(files.repartition(3), train_files=25)
+    assert seen[4] == seen[2]
