@@ -94,6 +94,7 @@ _CALL = re.compile(r"""(?i)\b(?P<call>\w+)\s*\(\s*["'`](?P<host>[\w\-]+(?:\.[\w\
 _DECODE = re.compile(r"""(?i)\b(?:atob|b64decode|base64decode|decode64|decode(?:String)?|mustDecode|from_?base64(?:String)?|unhexlify|fromhex)\s*\(\s*b?["'`](?P<v>[A-Za-z0-9+/=_\-]{8,})["'`]""")
 _PRIVATE = re.compile(r"""-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----""")
 _PRIVATE_END = re.compile(r"""-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----""")
+_KEY_BODY = re.compile(r"""(?:[A-Za-z0-9+/=\s\\"'`#:,.*|]|-(?!----END ))*+""")
 # Formats that are credentials wherever they stand.
 _FORMAT = re.compile(
     r"""(?<![A-Za-z0-9_/+])(?:(?:AKIA|ASIA)[A-Z0-9]{16}|gh[opsru]_[A-Za-z0-9]{16,}|github_pat_\w{20,}|glpat-[\w\-]{16,}|xox[abposr]-[0-9A-Za-z\-]{10,}|[sr]k_(?:live|prod)_[0-9A-Za-z]{10,}|SG\.[\w\-]{16,}\.[\w\-]{16,}|AIza[\w\-]{30,}|npm_[A-Za-z0-9]{30,}|eyJ[\w\-]{8,}\.eyJ[\w\-]{8,}\.[\w\-]{10,})(?![A-Za-z0-9_])"""
@@ -139,7 +140,8 @@ _UUID = re.compile(r"""(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9
 _DIGEST = re.compile(r"""(?i)^(?:sha\d{1,3}|md5|sri)[-:$][A-Za-z0-9+/=]{16,}$|^\$2[aby]?\$|^\$(?:5|6|argon2\w*|scrypt|pbkdf2\w*)\$|^\{(?:S?SHA|MD5)\d*\}|^pbkdf2|^data:""")
 _HEX = re.compile(r"""(?i)^[0-9a-f]+$""")
 _HASH_CONTEXT = re.compile(r"""(?i)sha|md5|digest|checksum|integrity|commit|rev(?:ision)?\b|etag|fingerprint|hash|nonce|trace|request|built_from|signature\b""")
-_PUBLIC = re.compile(r"""ssh-(?:rsa|ed25519|dss)|ecdsa-sha2|BEGIN (?:PUBLIC KEY|CERTIFICATE|RSA PUBLIC)""")
+# A public key or certificate, with the comment of the former, as far as it lies in one line.
+_PUBLIC = re.compile(r"""(?:ssh-(?:rsa|ed25519|dss)|ecdsa-sha2)[\w\-]*(?:\s+[A-Za-z0-9+/=]{16,})?(?:[ \t]+[\w.@\-]+)?|-*BEGIN (?:PUBLIC KEY|CERTIFICATE|RSA PUBLIC)(?:(?!-----END )[^"'`\n])*(?:-----END [A-Z ]+-----)?""")
 _MASKED = re.compile(r"""(?:\*{3,}|x{5,}|X{5,}|\.{3,}|•{2,})""")
 
 
@@ -202,7 +204,7 @@ def _spans(text: str, begin: int, end: int, judge: Judge) -> Iterator[tuple[int,
     """Credentials of one line, as places in text."""
     line = text[begin:end]
     for m in _PRIVATE.finditer(line):
-        close = _PRIVATE_END.search(text, begin + m.end(), begin + m.end() + 20_000)
+        close = _PRIVATE_END.search(text, begin + m.end(), begin + m.end() + 20_000) or _key_end(text, begin + m.end())
         yield begin + m.start(), close.end() if close else begin + m.end(), "private key"
     for m in _FORMAT.finditer(line):
         if not re.search(r"EXAMPLE|x{4,}|X{4,}|\*", m.group()) and judge.words.residual(m.group()) >= 6:
@@ -211,8 +213,20 @@ def _spans(text: str, begin: int, end: int, judge: Judge) -> Iterator[tuple[int,
         v = m["v"]
         if len(v) >= 4 and not judge.dismissed(v) and not _REFERENCE.search(v) and "$" not in v[:2] and judge.words.residual(v) + len(re.findall(r"[^\w]", v)) >= 2:
             yield begin + m.start("v"), begin + m.end("v"), "login in URL"
-    if _PUBLIC.search(line):
-        return
+    public = [(begin + m.start(), begin + m.end()) for m in _PUBLIC.finditer(line)]
+    for a, b, kind in _in_context(text, begin, end, line, judge):
+        if not any(a < y and x < b for x, y in public):
+            yield a, b, kind
+
+
+def _key_end(text: str, at: int) -> re.Match | None:
+    """The end of a private key whose body from `at` on is long, unless what lies between is no key's body."""
+    body = _KEY_BODY.match(text, at)
+    return _PRIVATE_END.match(text, body.end())
+
+
+def _in_context(text: str, begin: int, end: int, line: str, judge: Judge) -> Iterator[tuple[int, int, str]]:
+    """Credentials of one line that only their context gives away."""
     for m in _SCHEME.finditer(line):
         v = m["v"]
         if judge.dismissed(v):
@@ -305,14 +319,31 @@ def find_secrets(text: str, judge: Judge, look: list[int] | None = None) -> list
             done = begin
             for hit in _LOOK_HERE.finditer(text, begin, end):
                 if hit.start() >= done:
-                    spans.update(_spans(text, max(begin, hit.start() - 300), min(end, hit.end() + 700), judge))
-                    done = hit.end() + 300
+                    a, b = _window(text, begin, end, hit)
+                    spans.update(_spans(text, a, b, judge))
+                    done = max(hit.end() + 300, b - 700)
         for a, b, kind in sorted(spans, key=lambda s: (s[0], -s[1])):
             if not found or a >= found[-1].end:
                 found.append(Found(i + 1 + text.count("\n", begin, a), a, b, kind))
     return found
 
 
+def _window(text: str, begin: int, end: int, hit: re.Match) -> tuple[int, int]:
+    """What to read around a hit in a long line: 300 characters before it and 700 after it, as far as the
+    literals and tokens go that these begin or end in."""
+    a, b = max(begin, hit.start() - 300), min(end, hit.end() + 700)
+    while a > begin and text[a - 1] not in " \t\"'`,;":
+        a -= 1
+    stop = b
+    for quote in "\"'`":
+        if text.find(quote, a, b) >= 0:  # it may be open at b
+            close = re.compile(rf"(?:\\\\.|[^\\\\{quote}])*+{quote}(?:\s*[+.]\s*[\"'`][^\"'`\n]*[\"'`])*").match(text, b - (text[b - 1] == "\\"), end)
+            stop = max(stop, close.end() if close else stop)
+    while stop < end and text[stop] not in " \t\"'`,;":
+        stop += 1
+    return a, stop
+
+
 def redact(text: str, found: list[Found], mark: str = REDACTED) -> str:
     """The text with each credential replaced by the mark; all else, quotes and line ends included, stays.
 
@@ -371,7 +402,8 @@ def secrets_in(df: DataFrame, text: str, keys: list[str], *, dictionary: str = D
     to look at; whole texts are read, in one pass, without a shuffle.
 
     Defined results: a null or empty text has no credentials; lines end at line feeds only; a key
-    over several lines counts once, where it starts; repeated rows are each reported; lines of over 20,000 characters are read in overlapping windows around each hit.
+    over several lines counts once, where it starts; repeated rows are each reported; lines of over 20,000 characters are read in windows around each hit that
+    reach to the end of the literals they open.
     """
     return _run(df, text, keys, dictionary, [T.StructField("line", T.IntegerType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("kind", T.StringType())], _rows)
 
