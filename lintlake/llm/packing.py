@@ -46,41 +46,47 @@ def token_counts(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "t
     return documents.select(F.col(f"`{doc_id}`").alias("i"), F.col(f"`{text}`").alias("t")).where("t is not null").mapInArrow(run, schema)
 
 
-def bucket_bounds(sizes: np.ndarray, counts: np.ndarray, buckets: int, candidates: int = 1024) -> np.ndarray:
+def bucket_bounds(sizes: np.ndarray, counts: np.ndarray, buckets: int) -> np.ndarray:
     """Upper bounds of at most `buckets` length buckets with the least padding, by dynamic programming.
 
     Padding is the sum over all items of the bound of its bucket less its size. The bounds are
-    optimal among the sizes that occur; if more than `candidates` sizes occur, among that many
-    quantiles of them.
+    optimal among all sizes that occur. With n and t the items and tokens before size i, a bucket from i to j costs
+    bound[j] * (n[j + 1] - n[i]) - (t[j + 1] - t[i]): for each i a line in bound[j], so that the lower hull of the
+    lines gives a step of the programming in time linear in the number of sizes, in whole numbers.
     """
     order = np.argsort(sizes)
-    sizes, counts = np.asarray(sizes, np.int64)[order], np.asarray(counts, np.float64)[order]
-    if len(sizes) > candidates:
-        weight = np.cumsum(counts + counts.sum() / len(sizes))  # half by items, half by distinct sizes
-        at = np.unique(np.r_[np.searchsorted(weight, weight[-1] * np.arange(1, candidates) / candidates), len(sizes) - 1])
-    else:
-        at = np.arange(len(sizes))
-    n = np.cumsum(counts)[at]
-    total = np.cumsum(counts * sizes)[at]
-    bound = sizes[at].astype(np.float64)
-    n0, t0 = np.r_[0.0, n[:-1]], np.r_[0.0, total[:-1]]
-    # cost[i, j]: candidates i..j in one bucket bounded by j
-    cost = np.where(np.arange(len(at))[:, None] <= np.arange(len(at))[None, :], bound[None, :] * (n[None, :] - n0[:, None]) - (total[None, :] - t0[:, None]), np.inf)
-    best = cost[0].copy()
-    back = [np.zeros(len(at), np.int64)]
-    for _ in range(min(buckets, len(at)) - 1):
-        step = np.r_[np.inf, best[:-1]][:, None] + cost
-        choice = step.argmin(axis=0)
-        now = step[choice, np.arange(len(at))]
-        better = now < best
-        back.append(np.where(better, choice, -1))
-        best = np.where(better, now, best)
-    ends, j, level = [], len(at) - 1, len(back) - 1
+    bound = np.asarray(sizes, np.int64)[order].tolist()
+    n, t = [0], [0]
+    for size, count in zip(bound, np.asarray(counts, np.int64)[order].tolist()):
+        n.append(n[-1] + count)
+        t.append(t[-1] + count * size)
+    m = len(bound)
+    best = [bound[j] * n[j + 1] - t[j + 1] for j in range(m)]
+    back = [[0] * m]
+    for _ in range(min(buckets, m) - 1):
+        hull: list[tuple[int, int, int]] = []  # (slope, value at 0, i), slopes falling
+        at, now, choice = 0, list(best), [-1] * m
+        for j in range(1, m):
+            line = (-n[j], best[j - 1] + t[j], j)
+            if not hull or line[0] < hull[-1][0] or line[1] < hull[-1][1]:
+                while hull and hull[-1][0] == line[0] or len(hull) > 1 and (line[1] - hull[-2][1]) * (hull[-2][0] - hull[-1][0]) <= (hull[-1][1] - hull[-2][1]) * (hull[-2][0] - line[0]):
+                    hull.pop()
+                hull.append(line)
+            at = min(at, len(hull) - 1)
+            x = bound[j]
+            while at + 1 < len(hull) and hull[at + 1][0] * x + hull[at + 1][1] < hull[at][0] * x + hull[at][1]:
+                at += 1
+            cost = hull[at][0] * x + hull[at][1] + x * n[j + 1] - t[j + 1]
+            if cost < best[j]:
+                now[j], choice[j] = cost, hull[at][2]
+        best = now
+        back.append(choice)
+    ends, j, level = [], m - 1, len(back) - 1
     while j >= 0:
         while level > 0 and back[level][j] < 0:
             level -= 1
-        ends.append(int(bound[j]))
-        i = int(back[level][j])
+        ends.append(bound[j])
+        i = back[level][j]
         if i <= 0:
             break
         j, level = i - 1, level - 1

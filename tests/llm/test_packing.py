@@ -66,3 +66,19 @@ def test_texts(spark):
     assert {r.doc_id for r in rows} == {1, 4, 5} and sum(r.tokens for r in rows if r.doc_id == 1) == 2
     empty = docs.where("doc_id < 0")
     assert pack_documents(empty, spark.createDataFrame([("s", 100)], "container_kind string, capacity_tokens int")).count() == 0
+
+
+def test_bounds_are_optimal_among_many_sizes():
+    r = np.random.default_rng(5)
+    for m in (7, 60, 1500):
+        sizes = np.sort(r.choice(np.arange(1, 8193), m, replace=False))
+        counts = r.integers(1, 50, m)
+        n, t = np.r_[0, np.cumsum(counts)], np.r_[0, np.cumsum(counts * sizes)]
+        cost = sizes[None, :] * (n[None, 1:] - n[:-1, None]) - (t[None, 1:] - t[:-1, None])
+        cost = np.where(np.arange(m)[:, None] <= np.arange(m)[None, :], cost, 1 << 60)
+        best = cost[0]
+        for _ in range(5):
+            best = np.minimum(best, (np.r_[1 << 60, best[:-1]][:, None] + cost).min(axis=0))
+        got = bucket_bounds(sizes, counts, 6)
+        at = np.searchsorted(got, sizes)
+        assert len(got) <= 6 and int((counts * (got[at] - sizes)).sum()) == best[-1]
