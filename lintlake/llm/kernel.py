@@ -90,23 +90,28 @@ class Words:
         return mix(total), at
 
 
+def runs(mask: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(start, end) of every run of set bytes; none goes over the end of a text."""
+    if not len(mask):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    begins = mask.copy()
+    begins[1:] &= ~mask[:-1]
+    inner = offsets[:-1][offsets[:-1] < len(mask)]
+    begins[inner] = mask[inner]
+    start = np.flatnonzero(begins)
+    stops = np.zeros(len(mask) + 1, bool)
+    stops[:-1] = ~mask
+    stops[offsets] = True
+    ends = np.flatnonzero(stops)
+    return start, ends[np.searchsorted(ends, start + 1)]
+
+
 def words_of(raw: np.ndarray, offsets: np.ndarray) -> Words:
     empty = np.zeros(0, np.int64)
-    if not len(raw):
-        return Words(raw, offsets, empty, empty, empty, np.zeros(0, np.uint64))
     is_word = word_mask(raw)
-    begins = is_word.copy()
-    begins[1:] &= ~is_word[:-1]
-    inner = offsets[:-1][offsets[:-1] < len(raw)]
-    begins[inner] = is_word[inner]
-    start = np.flatnonzero(begins)
+    start, end = runs(is_word, offsets)
     if not len(start):
         return Words(raw, offsets, empty, empty, empty, np.zeros(0, np.uint64))
-    stops = np.zeros(len(raw) + 1, bool)
-    stops[:-1] = ~is_word
-    stops[offsets] = True
-    ends = np.flatnonzero(stops)
-    end = ends[np.searchsorted(ends, start + 1)]
     length = end - start
     inside = LOWER[raw[is_word]].astype(np.uint64) + np.uint64(1)
     from_ = np.cumsum(length) - length
