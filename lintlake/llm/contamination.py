@@ -10,12 +10,12 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.pandas.types import to_arrow_type
 
 from lintlake.llm.kernel import Words, portions, words_of_column
+from lintlake.sources.tables import materialize
 
 # Letters of other alphabets that look like Latin ones.
 _LOOKALIKE = {
@@ -62,29 +62,34 @@ def plain_column(texts: pa.Array) -> pa.Array:
 
 @dataclass
 class Items:
-    """Test items as hashed words, and the seeds that point to them."""
+    """Test items as hashed words, and the seeds that point to them (ascending, with the item of each)."""
 
     ids: list
     words: list[np.ndarray]
     letters: list[np.ndarray]
     seeds: np.ndarray
     seed_item: np.ndarray
-    bits: np.ndarray
 
     @classmethod
-    def build(cls, ids: list, texts: list[str], gram: int, rare: int) -> Items:
+    def build(cls, ids: list, texts: list[str], seeds: list[np.ndarray]) -> Items:
         found = words_of_column(plain_column(pa.array(texts, pa.string())))
         first = found.first_of()
-        words = [found.hash[a:b] for a, b in zip(first, first[1:])]
+        first = np.r_[first, np.full(max(0, len(texts) + 1 - len(first)), len(found.hash))]
         sums = letter_sums(found)
-        letters = [sums[a:b] for a, b in zip(first, first[1:])]
-        grams, at = found.grams(gram)
-        pair = np.unique(np.stack([grams, found.text[at].astype(np.uint64)], 1), axis=0) if len(grams) else np.zeros((0, 2), np.uint64)
-        _, back, times = np.unique(pair[:, 0], return_inverse=True, return_counts=True)
-        pair = pair[times[back] <= rare] if len(pair) else pair
-        bits = np.zeros(1 << 20, bool)
-        bits[(pair[:, 0] & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
-        return cls(ids, words, letters, pair[:, 0].copy(), pair[:, 1].astype(np.int64), bits)
+        owner = np.repeat(np.arange(len(ids)), [len(x) for x in seeds])
+        flat = np.concatenate([np.zeros(0, np.uint64), *seeds])
+        order = np.argsort(flat, kind="stable")
+        return cls(ids, [found.hash[a:b] for a, b in zip(first, first[1:])], [sums[a:b] for a, b in zip(first, first[1:])], flat[order], owner[order])
+
+    def needed(self, seeds: int) -> np.ndarray:
+        """How many different seeds of each item a text must hold."""
+        return np.minimum(seeds, np.maximum(np.bincount(self.seed_item, minlength=len(self.ids)), 1))
+
+    def bits(self) -> np.ndarray:
+        """A table of about 16 bits a seed that says whether a gram may be one."""
+        table = np.zeros(1 << max(20, (16 * len(self.seeds)).bit_length()), bool)
+        table[(self.seeds & np.uint64(len(table) - 1)).astype(np.int64)] = True
+        return table
 
 
 def letter_sums(found: Words) -> np.ndarray:
@@ -131,13 +136,14 @@ def align(item: np.ndarray, item_letters: np.ndarray, text: np.ndarray, text_let
     return covered
 
 
-def leaks_of(texts: pa.Array, items: Items, *, gram: int, seeds: int, least: int, runs: int, share: float) -> Iterator[tuple[int, int, float, int]]:
+def leaks_of(texts: pa.Array, items: Items, bits: np.ndarray, *, gram: int, seeds: int, least: int, runs: int, share: float) -> Iterator[tuple[int, int, float, int]]:
     """(number of the text, number of the item, share of its words, seeds hit) of every leak in a batch."""
     found = words_of_column(plain_column(texts))
     grams, at = found.grams(gram)
     if not len(grams) or not len(items.seeds):
         return
-    near = np.flatnonzero(items.bits[(grams & np.uint64((1 << 20) - 1)).astype(np.int64)])
+    needed = items.needed(seeds)
+    near = np.flatnonzero(bits[(grams & np.uint64(len(bits) - 1)).astype(np.int64)])
     grams, at = grams[near], at[near]
     lo, hi = np.searchsorted(items.seeds, grams, "left"), np.searchsorted(items.seeds, grams, "right")
     times = hi - lo
@@ -153,8 +159,7 @@ def leaks_of(texts: pa.Array, items: Items, *, gram: int, seeds: int, least: int
     first = found.first_of()
     sums = None
     for a, b in zip(edge, [*edge[1:], len(at)]):
-        distinct = len(np.unique(seed[a:b]))
-        if distinct < seeds:
+        if b - a < needed[item[a]] or (distinct := len(np.unique(seed[a:b]))) < needed[item[a]]:
             continue
         if sums is None:
             sums = letter_sums(found)
@@ -165,13 +170,31 @@ def leaks_of(texts: pa.Array, items: Items, *, gram: int, seeds: int, least: int
         covered = np.zeros(m, bool)
         for part in np.split(places, cut):
             x, y = max(int(first[t]), int(part[0]) - m), min(int(first[t + 1]), int(part[-1]) + m + gram)
-            if len(part) >= 2 and not covered.all():
-                covered |= align(items.words[k], items.letters[k], found.hash[x:y], sums[x:y], least=least, runs=runs)
+            if len(part) >= min(2, needed[k]) and not covered.all():
+                covered |= align(items.words[k], items.letters[k], found.hash[x:y], sums[x:y], least=min(least, m), runs=runs)
         got = float(covered.mean())
         if got >= share:
             yield t, k, got, distinct
 
 
+def _seeded(items: DataFrame, gram: int, rare: int, keep: int) -> DataFrame:
+    """key, text and seeds of every distinct item text (key, t): its grams that at most `rare` texts hold, and the
+    `keep` rarest of its grams in any case. Rarity is counted over all texts; nothing of it reaches the driver."""
+
+    def grams_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (part for whole in batches for part in portions(whole, 1)):
+            found = words_of_column(plain_column(batch.column(1)))
+            grams, at = found.grams(gram)
+            pair = np.unique(np.stack([found.text[at].astype(np.uint64), grams], 1), axis=0) if len(grams) else np.zeros((0, 2), np.uint64)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(pair[:, 0].astype(np.int64))), pa.array(pair[:, 1].copy().view(np.int64))], names=["key", "gram"])
+
+    held = materialize(items.mapInArrow(grams_of, "key string, gram bigint"), "grams")
+    known = held.join(held.groupBy("gram").agg(F.count(F.lit(1)).alias("texts")), "gram")
+    place = F.row_number().over(Window.partitionBy("key").orderBy("texts", "gram"))
+    seeds = known.withColumn("place", place).where(f"texts <= {rare:d} or place <= {keep:d}").groupBy("key").agg(F.collect_list("gram").alias("seeds"))
+    return items.join(seeds, "key").select("key", "t", "seeds")
+
+
 def leaked_items(
     corpus: DataFrame,
     items: DataFrame,
@@ -182,6 +205,7 @@ def leaked_items(
     item_text: str = "text",
     gram: int = 2,
     rare_items: int = 3,
+    keep_seeds: int = 24,
     seeds: int = 5,
     least_run: int = 8,
     runs: int = 5,
@@ -190,49 +214,52 @@ def leaked_items(
 ) -> DataFrame:
     """Every (document, item) where the document carries at least `share` of the item's words in a few runs.
 
-    Seeds are the items' n-grams of `gram` words that occur in at most `rare_items` items, so lead-ins
-    common to many items seed nothing. Each task hashes all words of its documents, looks their
+    Seeds are the items' n-grams of `gram` words that at most `rare_items` distinct item texts hold, so
+    that lead-ins common to many items seed nothing, and in any case the keep_seeds rarest n-grams of each
+    item, so that no item is left without seeds however many items there are. Each task hashes all words of its documents, looks their
     n-grams up among the seeds (hash bits first, then binary search), and aligns each document that
-    holds at least `seeds` different seeds of an item with that item. The corpus is read once, is not
+    holds at least `seeds` different seeds of an item (all of them, if it has fewer) with that item. The corpus is read once, is not
     shuffled, and only leaks leave the tasks. An item that leaks into a third of all documents costs
     each task only its own documents.
 
-    The test items are a stated query set: they are read to the driver in blocks of `block_words`
+    The test items are a stated query set: their distinct texts are read to the driver in blocks of `block_words`
     words, at most that many (16 MB of hashes) are sent to the tasks at a time, and a larger set
-    takes several passes over the corpus.
+    takes several passes over the corpus. Rarity is counted over all blocks, so the result does not depend on their size.
 
-    Returns doc_id, item_id, item_share, seeds_hit. Defined results: null or empty texts and items
-    without seeds give no row; an item repeated under another id is reported for both unless it
-    occurs more than rare_items times (give distinct items); repeated documents are all reported; other columns
-    are ignored, their names may clash; empty tables give no rows.
+    Returns doc_id, item_id, item_share, seeds_hit. Defined results: null or empty texts give no row; an
+    item of fewer than `gram` words is never reported; one of fewer than least_run words must be
+    carried whole, in one run; an item text under several ids is sought once and reported for each; repeated documents and
+    repeated item rows are all reported; other columns are ignored, their names may clash; empty tables give no rows.
     """
-    schema = T.StructType([T.StructField("doc_id", corpus.schema[doc_id].dataType), T.StructField("item_id", items.schema[item_id].dataType), T.StructField("item_share", T.DoubleType()), T.StructField("seeds_hit", T.IntegerType())])
+    schema = T.StructType([T.StructField("doc_id", corpus.schema[doc_id].dataType), T.StructField("key", T.StringType()), T.StructField("item_share", T.DoubleType()), T.StructField("seeds_hit", T.IntegerType())])
     docs = corpus.select(F.col(f"`{doc_id}`").alias("i"), F.col(f"`{text}`").alias("t")).where("t is not null and t != ''")
-    wanted = items.select(F.col(f"`{item_id}`").alias("i"), F.col(f"`{item_text}`").alias("t")).where("t is not null and t != ''").distinct().orderBy("i")
+    wanted = items.select(F.col(f"`{item_id}`").alias("item_id"), F.col(f"`{item_text}`").alias("t")).where("t is not null and t != ''").withColumn("key", F.sha2("t", 256))
+    seeded = materialize(_seeded(materialize(wanted.groupBy("key").agg(F.first("t").alias("t")), "items"), gram, rare_items, keep_seeds), "seeds").orderBy("key")
     spark = corpus.sparkSession
-    id_type = to_arrow_type(items.schema[item_id].dataType)
-    result, ids, texts, words = None, [], [], 0
+    result, ids, texts, known, words = None, [], [], [], 0
 
     def scan() -> DataFrame:
-        shared = spark.sparkContext.broadcast(Items.build(list(ids), list(texts), gram, rare_items))
+        shared = spark.sparkContext.broadcast(Items.build(list(ids), list(texts), list(known)))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            known = shared.value
+            block = shared.value
+            bits = block.bits()
             for batch in (part for whole in batches for part in portions(whole, 1)):
-                rows = list(leaks_of(batch.column(1), known, gram=gram, seeds=seeds, least=least_run, runs=runs, share=share))
+                rows = list(leaks_of(batch.column(1), block, bits, gram=gram, seeds=seeds, least=least_run, runs=runs, share=share))
                 if rows:
                     own = batch.column(0).take(pa.array([r[0] for r in rows]))
-                    yield pa.RecordBatch.from_arrays([own, pa.array([known.ids[r[1]] for r in rows], id_type), pa.array([r[2] for r in rows], pa.float64()), pa.array([r[3] for r in rows], pa.int32())], names=["doc_id", "item_id", "item_share", "seeds_hit"])
+                    yield pa.RecordBatch.from_arrays([own, pa.array([block.ids[r[1]] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.float64()), pa.array([r[3] for r in rows], pa.int32())], names=schema.names)
 
         return docs.mapInArrow(run, schema)
 
-    for row in wanted.toLocalIterator():
-        ids.append(row["i"])
+    for row in seeded.toLocalIterator():
+        ids.append(row["key"])
         texts.append(row["t"])
+        known.append(np.array(row["seeds"], np.int64).view(np.uint64))
         words += row["t"].count(" ") + 1
         if words >= block_words:
             result = scan() if result is None else result.unionAll(scan())
-            ids, texts, words = [], [], 0
+            ids, texts, known, words = [], [], [], 0
     if ids or result is None:
         result = scan() if result is None else result.unionAll(scan())
-    return result
+    return result.join(wanted.select("key", "item_id"), "key").select("doc_id", "item_id", "item_share", "seeds_hit")

@@ -55,5 +55,31 @@ def test_planted_leaks(spark):
     assert leaked_items(corpus, held.where("item_id < 0")).count() == 0 == leaked_items(corpus.where("doc_id < 0"), held).count()
 
 
+def test_repeated_and_short_items(spark):
+    r = random.Random(8)
+    same = " ".join(words(60, r))
+    alike = [" ".join([*same.split()[:30], w, *same.split()[31:]]) for w in words(4, r)]
+    other = " ".join(words(50, r))
+    short = "seven words that no other item has"
+    items = [*[(i, same) for i in range(4)], *[(10 + i, t) for i, t in enumerate(alike)], (20, short), (21, "one"), (22, "two words"), (None, other)]
+    held = spark.createDataFrame(items, "item_id int, text string")
+    docs = [(0, "x y " + same + " z"), (1, "in front " + short + " and after"), (2, "seven words that no other text has"), (3, "two other words"), (4, "one two words"), (5, alike[2]), (6, other)]
+    corpus = spark.createDataFrame(docs, "doc_id int, text string")
+    near = {*range(4), 10, 11, 12, 13}
+    want = {*((d, i) for d in (0, 5) for i in near), (1, 20), (4, 22), (6, None)}
+    for size in (2_000_000, 150, 1):
+        got = leaked_items(corpus, held, block_words=size).collect()
+        assert {(x.doc_id, x.item_id) for x in got} == want and len(got) == len(want)
+
+
+def test_many_items_of_common_words_keep_seeds(spark):
+    r = random.Random(9)
+    few = WORDS[:40]
+    items = [(i, " ".join(r.choice(few) for _ in range(80))) for i in range(300)]
+    corpus = spark.createDataFrame([(i, "a b " + t) for i, t in items[:20]], "doc_id int, text string")
+    got = leaked_items(corpus, spark.createDataFrame(items, "item_id int, text string")).collect()
+    assert {(i, i) for i in range(20)} <= {(x.doc_id, x.item_id) for x in got}
+
+
 def test_plain():
     assert plain("Ｆull ﬁ Ünïcode сору &amp; <b>x</b>\\ny sp​lit so-\nme") == "full fi unicode copy &  x  y split some"
