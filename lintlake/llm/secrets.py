@@ -99,18 +99,20 @@ _KEY_BODY = re.compile(r"""(?:[A-Za-z0-9+/=\s\\"'`#:,.*|]|-(?!----END ))*+""")
 _FORMAT = re.compile(
     r"""(?<![A-Za-z0-9_/+])(?:(?:AKIA|ASIA)[A-Z0-9]{16}|gh[opsru]_[A-Za-z0-9]{16,}|github_pat_\w{20,}|glpat-[\w\-]{16,}|xox[abposr]-[0-9A-Za-z\-]{10,}|[sr]k_(?:live|prod)_[0-9A-Za-z]{10,}|SG\.[\w\-]{16,}\.[\w\-]{16,}|AIza[\w\-]{30,}|npm_[A-Za-z0-9]{30,}|eyJ[\w\-]{8,}\.eyJ[\w\-]{8,}\.[\w\-]{10,})(?![A-Za-z0-9_])"""
 )
-# Words near which a password may be told in prose.
-_TELLS = re.compile(r"""(?i)(?<![\w/+=])(?:pw|pwd|pass|passw\w*|passphrase|secret|token|api ?key|key (?:was|is)|log(?:s|ged)? ?in|login|sign(?:s|ed)? in|opens? with|prompts?|type|unlock\w*|using|account|credentials?|auth(?:entication|orization)? header|works only with|until)(?![\w/+=])""")
 _TOKEN = re.compile(r"""[^\s"'`<>()\[\]{},;|]{6,}""")
 _COMMENT = re.compile(r"""^[+\- ]?\s*(?:#|//|--|/?\*|<!--|;\s|rem\b|%\s)""", re.IGNORECASE)
+_CODE = re.compile(r"[=({;]")
+# A remark that speaks of a credential: the nouns of _NAME, and key, login, account and auth.
+_NOUN = re.compile(r"""(?i)(?<![a-z])(?:pass(?:word|wd|phrase|code)?|pwd?|secret|token|credential|(?:api)?key|log(?:in|on)|account|auth(?:entication|ori[sz]ation)?)s?(?![a-z])""")
 
 # A literal that is given in the line after its name.
 _HEAD = re.compile(rf"""(?i)(?<![\w$])["'`\[]*(?P<name>{_NAME})["'`\]]*(?:\s*:\s*(?:str|string))?\s*(?:=>|:=|==?|:)\s*(?P<call>[\w.]*\(\s*)?\\?\s*$""")
 _NEXT = re.compile(rf"""\r?\n[+\- ]?[ \t]*(?:#|//|--)?[ \t]*b?{_QUOTED}{_JOIN}""")
 _DECODER = re.compile(r"""(?i)(?:atob|decode(?:64|string)?|base64(?:string)?|unhexlify|fromhex)\s*\(\s*$""")
 
-# Which lines to look at: whatever a rule above needs, case-blind, in the syntax that both RE2 (over whole Arrow
-# batches) and Python read. Each part lets through all that the rule named beside it takes.
+# Which lines are contexts at all: those that a rule above may take, case-blind, in the syntax that both RE2 (over
+# whole Arrow batches) and Python read. Each part lets through all that the rule named
+# beside it takes.
 _KEYS = re.search(r"\(\?:(service\|[^)]*)\)\[_\\-\]\?key", _NAME)[1]
 _LOOK = "(?i)" + "|".join(
     [
@@ -125,10 +127,12 @@ _LOOK = "(?i)" + "|".join(
         r"(?:atob|decode(?:64|string)?|base64(?:string)?|unhexlify|fromhex)[^\w\"'`()]*\(",  # _DECODE
         r"private key",  # _PRIVATE
         r"(?:akia|asia)[a-z0-9]{16}|gh[opsru]_|github_pat_|glpat-|xox[abposr]-|[sr]k_(?:live|prod)_|sg\.[^\s.]{16}|aiza|npm_|eyj[^\s.]{8,}\.eyj",  # _FORMAT
-        r"\b(?:key (?:was|is)|log(?:s|ged)? ?in|signs? in|signed in|opens? with|prompts?|type|unlock|using|account|api ?key|auth(?:entication|orization)? header|works only with|until)",  # _TELLS
     ]
 )
 _LOOK_HERE = re.compile(_LOOK, re.ASCII)
+# Which lines are remarks or prose: those that _COMMENT matches or that _CODE is not found in.
+_REMARK = r"(?i)^[+\- ]?\s*(?:#|//|--|/?\*|<!--|;\s|rem\b|%\s)|^[^=({;]*$"
+_REMARK_HERE = re.compile(_REMARK, re.ASCII)
 
 # ---- what a value looks like
 
@@ -140,8 +144,8 @@ _UUID = re.compile(r"""(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9
 _DIGEST = re.compile(r"""(?i)^(?:sha\d{1,3}|md5|sri)[-:$][A-Za-z0-9+/=]{16,}$|^\$2[aby]?\$|^\$(?:5|6|argon2\w*|scrypt|pbkdf2\w*)\$|^\{(?:S?SHA|MD5)\d*\}|^pbkdf2|^data:""")
 _HEX = re.compile(r"""(?i)^[0-9a-f]+$""")
 _HASH_CONTEXT = re.compile(r"""(?i)sha|md5|digest|checksum|integrity|commit|rev(?:ision)?\b|etag|fingerprint|hash|nonce|trace|request|built_from|signature\b""")
-# A public key or certificate, with the comment of the former, as far as it lies in one line.
-_PUBLIC = re.compile(r"""(?:ssh-(?:rsa|ed25519|dss)|ecdsa-sha2)[\w\-]*(?:\s+[A-Za-z0-9+/=]{16,})?(?:[ \t]+[\w.@\-]+)?|-*BEGIN (?:PUBLIC KEY|CERTIFICATE|RSA PUBLIC)(?:(?!-----END )[^"'`\n])*(?:-----END [A-Z ]+-----)?""")
+# A public key or certificate, with the comment of the former, as far as it lies in one line, and an embedded file.
+_PUBLIC = re.compile(r"""\bdata:[\w/.+;=\-]*,[A-Za-z0-9+/=%]*|(?:ssh-(?:rsa|ed25519|dss)|ecdsa-sha2)[\w\-]*(?:\s+[A-Za-z0-9+/=]{16,})?(?:[ \t]+[\w.@\-]+)?|-*BEGIN (?:PUBLIC KEY|CERTIFICATE|RSA PUBLIC)(?:(?!-----END )[^"'`\n])*(?:-----END [A-Z ]+-----)?""")
 _MASKED = re.compile(r"""(?:\*{3,}|x{5,}|X{5,}|\.{3,}|•{2,})""")
 
 
@@ -154,50 +158,83 @@ def _decoded(value: str) -> str | None:
     return text if text.isprintable() and len(text) >= 4 else None
 
 
+# How much of a value must be left unexplained (characters of no dictionary word, digits, signs) where it is given.
+LEAST = {"login in URL": 2, "basic login": 2, "login option": 2, "option": 3, "login call": 3, "named": 3, "encoded login": 3, "told": 3, "key format": 6, "bearer token": 6}
+
+
 class Judge:
-    """Whether a literal is a credential, by its residual and the context it stands in."""
+    """Whether a literal is a credential: by what Viterbi segmentation leaves of it, and the context it stands in."""
 
     def __init__(self, words: Segmenter):
         self.words = words
 
     def dismissed(self, v: str) -> bool:
+        """Known formats of what is none, and placeholders."""
         return bool(_PLACEHOLDER.match(v) or _REFERENCE.search(v) or _MASKED.search(v) or _UUID.match(v) or _DIGEST.match(v) or len(set(v)) < 4)
 
+    def unexplained(self, v: str, joints: str = "") -> int:
+        """Characters of no dictionary word, digits, and signs other than the joints."""
+        return self.words.residual(v) + sum(not (c.isalnum() or c == "_" or c.isspace() or c in joints) for c in v)
+
+    def secret(self, context: str, v: str, joints: str = "") -> bool:
+        return not self.dismissed(v) and self.unexplained(v, joints) >= LEAST[context]
+
     def named(self, v: str) -> bool:
         """Given to a secret name: anything of some length that words alone do not explain."""
         v = v.strip()
-        if len(v) < 6 or self.dismissed(v) or re.search(r"\s", v):
-            return False
-        if v.isdigit() and len(v) < 8:
+        if len(v) < 6 or re.search(r"\s", v) or v.isdigit() and len(v) < 8:
             return False
         if re.match(r"^(?:\.{0,2}/)?[\w.\-]+(?:/[\w.\-]+)+$", v) and self.words.residual(v) < 8:
             return False  # a path
-        odd = len(re.findall(r"[^\w\s.\-/]", v))
-        return self.words.residual(v) + odd >= 3
+        return self.secret("named", v, ".-/")
 
-    def told(self, v: str) -> bool:
-        """Told in prose or beside a login: only what looks like a password by itself."""
+    def told(self, v: str, noun: bool) -> bool:
+        """Told in a remark: what looks like a password by itself, or like a key. Digests and single words with a
+        number count only where the remark speaks of a credential."""
         v = v.strip(".,:;")
-        if len(v) < 7 or self.dismissed(v) or _HEX.match(v) and len(v) in (7, 8, 32, 40, 64):
+        if len(v) < 7 or not self.secret("told", v, ".-"):
+            return False
+        if len(v) >= 20:
+            return self._key(v, noun)
+        if _HEX.match(v) and len(v) in (7, 8, 32, 40, 64):
             return False
         if re.match(r"^[a-z]+[._]?[a-z]*\d*$", v) or re.match(r"^v?\d+(?:[.\-]\w+)*$", v):
             return False  # a word, a login name, a version
         if re.search(r"[/\\@]|://|\.(?:py|js|ts|go|java|sql|md|sh|json|ya?ml|test|example|invalid|com|org|net|io)\b|^--?\w|^[\w.]+\(|^#", v):
             return False
-        letters, digits, odd = bool(re.search("[A-Za-z]", v)), len(re.findall(r"\d", v)), len(re.findall(r"[^\w.\-]", v))
-        if not letters:
-            return False
+        return self._password(v, noun)
+
+    def _password(self, v: str, noun: bool) -> bool:
+        digits, odd = sum(c.isdigit() for c in v), len(re.findall(r"[^\w.\-]", v))
         residual = self.words.residual(v)
-        mixed = bool(re.search("[a-z]", v)) + bool(re.search("[A-Z]", v)) + bool(digits) + bool(odd)
+        if not any(c.isalpha() for c in v):
+            return False
         if re.match(r"^[A-Za-z]+(?:-[A-Za-z]+)+-\d{2,}$", v):
             return True  # words and a number as a passphrase
-        if v.isalpha() and len(re.findall("[a-z][A-Z]", v)) >= 1 and residual >= 7 and residual * 4 > len(v) * 3:
+        if v.isalpha() and re.search("[a-z][A-Z]", v) and residual >= 7 and residual * 4 > len(v) * 3:
             return True  # letters in mixed case that spell nothing
+        if not noun and not odd and residual - digits < 3 and re.match(r"^[A-Za-z]+\d+[A-Za-z]*$", v):
+            return False  # words and a number
+        mixed = bool(re.search("[a-z]", v)) + bool(re.search("[A-Z]", v)) + bool(digits) + bool(odd)
         return mixed >= 3 and residual + odd >= 3 and (digits + odd >= 2 or residual >= 6)
 
+    def _key(self, v: str, noun: bool) -> bool:
+        """A long key: mostly residual, with digits, no path; no digest unless the remark speaks of a key."""
+        residual = self.words.residual(v)
+        if re.match(r"^[A-Za-z0-9+/=_.\-]+$", v):
+            path = v.count("/") > 3 and residual * 3 < len(v) * 2
+            if any(c.isdigit() for c in v) and residual * 2 > len(v) and not path and (noun or not _HEX.match(v)):
+                return True
+        return not _HEX.match(v) and not re.search(r"[/\\@]|://|^--?\w|^[\w.]+\(|^#", v) and self._password(v, noun)
+
     def encoded(self, v: str) -> bool:
         text = _decoded(v)
-        return text is not None and not self.dismissed(text) and (self.words.residual(text) >= 3)
+        return text is not None and self.secret("encoded login", text)
+
+    def login(self, v: str) -> bool:
+        """A user and a password in base64."""
+        user, colon, password = (_decoded(v) or "").partition(":")
+        return bool(colon) and self.secret("basic login", password)
 
 
 def _spans(text: str, begin: int, end: int, judge: Judge) -> Iterator[tuple[int, int, str]]:
@@ -207,11 +244,11 @@ def _spans(text: str, begin: int, end: int, judge: Judge) -> Iterator[tuple[int,
         close = _PRIVATE_END.search(text, begin + m.end(), begin + m.end() + 20_000) or _key_end(text, begin + m.end())
         yield begin + m.start(), close.end() if close else begin + m.end(), "private key"
     for m in _FORMAT.finditer(line):
-        if not re.search(r"EXAMPLE|x{4,}|X{4,}|\*", m.group()) and judge.words.residual(m.group()) >= 6:
+        if not re.search(r"EXAMPLE|x{4,}|X{4,}|\*", m.group()) and judge.words.residual(m.group()) >= LEAST["key format"]:
             yield begin + m.start(), begin + m.end(), "key format"
     for m in _URL.finditer(line):
         v = m["v"]
-        if len(v) >= 4 and not judge.dismissed(v) and not _REFERENCE.search(v) and "$" not in v[:2] and judge.words.residual(v) + len(re.findall(r"[^\w]", v)) >= 2:
+        if len(v) >= 4 and "$" not in v[:2] and judge.secret("login in URL", v):
             yield begin + m.start("v"), begin + m.end("v"), "login in URL"
     public = [(begin + m.start(), begin + m.end()) for m in _PUBLIC.finditer(line)]
     for a, b, kind in _in_context(text, begin, end, line, judge):
@@ -232,9 +269,9 @@ def _in_context(text: str, begin: int, end: int, line: str, judge: Judge) -> Ite
         if judge.dismissed(v):
             continue
         if m["s"].lower() == "basic":
-            if ":" in (_decoded(v) or ""):
+            if judge.login(v):
                 yield begin + m.start("v"), begin + m.end("v"), "basic login"
-        elif judge.words.residual(v) >= 6 and re.search(r"\d", v):
+        elif judge.words.residual(v) >= LEAST["bearer token"] and re.search(r"\d", v):
             yield begin + m.start("v"), begin + m.end("v"), "bearer token"
     for m in _DECODE.finditer(line):
         if judge.encoded(m["v"]):
@@ -271,57 +308,70 @@ def _in_context(text: str, begin: int, end: int, line: str, judge: Judge) -> Ite
         if judge.named(v):
             yield begin + m.start("v"), begin + m.start("v") + len(v), "named value"
     for m in _CALL.finditer(line):
-        if not judge.dismissed(m["v"]) and len(m["v"]) >= 6 and judge.words.residual(m["v"]) + len(re.findall(r"[^\w]", m["v"])) >= 3:
+        if len(m["v"]) >= 6 and judge.secret("login call", m["v"]):
             yield begin + m.start("v"), begin + m.end("v"), "login call"
     for m in _USERPASS.finditer(line):
-        if not judge.dismissed(m["v"]) and len(m["v"]) >= 6 and judge.words.residual(m["v"]) >= 2:
+        if len(m["v"]) >= 6 and judge.secret("login option", m["v"]):
             yield begin + m.start("v"), begin + m.end("v"), "login option"
     for m in _FLAG.finditer(line):
         v = m["v"].rstrip(".,)")
         lead = m.group().lower()
         if lead.startswith("-p") and not re.search(r"(?i)mysql|mongo|psql|redis|pg_|sqlplus|sshpass", line):
             continue
-        if len(v) >= 6 and not judge.dismissed(v) and judge.words.residual(v) + len(re.findall(r"[^\w.\-]", v)) >= 3 and not re.match(r"^[a-z]+(?:[._][a-z]+)*$", v):
+        if len(v) >= 6 and judge.secret("option", v, ".-") and not re.match(r"^[a-z]+(?:[._][a-z]+)*$", v):
             yield begin + m.start("v"), begin + m.start("v") + len(v), "login option"
-    if _TELLS.search(line) and line.strip().count(" ") >= 2 and (_COMMENT.match(line) or not re.search(r"[=({;]", line)):
-        for m in _TOKEN.finditer(line):
-            v = m.group().rstrip(".,:;)")
-            pair = re.match(r"^[A-Za-z][\w.]*:(?P<v>[^:]{6,})$", v)
-            if pair and judge.told(pair["v"]):
-                yield begin + m.start() + pair.start("v"), begin + m.start() + pair.end("v"), "told login"
-            elif judge.told(v) or _long_key(judge, v):
-                yield begin + m.start(), begin + m.start() + len(v), "told password"
-
 
-def _long_key(judge: Judge, v: str) -> bool:
-    """A long key told in prose: mostly residual, with digits, no path and no digest."""
-    return len(v) >= 20 and not judge.dismissed(v) and not _UUID.match(v) and re.match(r"^[A-Za-z0-9+/=_.\-]+$", v) is not None and bool(re.search(r"\d", v)) and judge.words.residual(v) * 2 > len(v) and not (v.count("/") > 3 and judge.words.residual(v) * 3 < len(v) * 2)
 
-
-def find_secrets(text: str, judge: Judge, look: list[int] | None = None) -> list[Found]:
+def _in_remark(line: str, begin: int, judge: Judge) -> Iterator[tuple[int, int, str]]:
+    """Credentials told in a remark: every token is segmented, none needs a word of a list beside it."""
+    if line.count(" ") < 2 or not _COMMENT.match(line) and _CODE.search(line):
+        return
+    noun: bool | None = None
+    for m in _TOKEN.finditer(line):
+        v = m.group().rstrip(".,:;)")
+        if v.islower() and v.isalpha():
+            continue
+        if noun is None:
+            spoken = re.findall(r"(?<![\w/+=])[A-Za-z]{2,}(?![\w/+=])", line)
+            if len(spoken) < 2:
+                return  # no remark but a bare value
+            noun = bool(_NOUN.search(line))
+        pair = re.match(r"^[A-Za-z][\w.]*:(?P<v>[^:]{6,})$", v)
+        if pair and judge.told(pair["v"], noun):
+            yield begin + m.start() + pair.start("v"), begin + m.start() + pair.end("v"), "told login"
+        elif judge.told(v, noun):
+            yield begin + m.start(), begin + m.start() + len(v), "told password"
+
+
+def find_secrets(text: str, judge: Judge, look: list[tuple[int, bool, bool]] | None = None) -> list[Found]:
     """Every credential of a text in order, without overlaps; lines are counted from 1 and end at line feeds.
 
-    look: the numbers (from 0) of the lines worth a look, if they are known already.
+    look: the numbers (from 0) of the lines that are contexts, and whether of the rules and whether remarks, if
+    they are known already.
     """
     found: list[Found] = []
     lines = text.split("\n")
     if look is None:
-        look = [i for i, x in enumerate(lines) if _LOOK_HERE.search(x)]
+        look = [(i, bool(_LOOK_HERE.search(x)), bool(_REMARK_HERE.search(x))) for i, x in enumerate(lines)]
     begins = list(accumulate((len(x) + 1 for x in lines), initial=0)) if look else []
-    for i in look:
+    for i, ruled, remark in look:
         begin, end = begins[i], begins[i] + len(lines[i])
-        if found and end <= found[-1].end:
+        if found and end <= found[-1].end or not (ruled or remark):
             continue
         spans: set[tuple[int, int, str]] = set()
-        if end - begin <= _LONG_LINE:
+        if ruled and end - begin <= _LONG_LINE:
             spans.update(_spans(text, begin, end, judge))
-        else:  # a line of bundled code: read around each hit
+        elif ruled:  # a line of bundled code: read around each hit
             done = begin
             for hit in _LOOK_HERE.finditer(text, begin, end):
                 if hit.start() >= done:
                     a, b = _window(text, begin, end, hit)
                     spans.update(_spans(text, a, b, judge))
                     done = max(hit.end() + 300, b - 700)
+        if remark:
+            told = list(_in_remark(lines[i], begin, judge))
+            public = [(begin + m.start(), begin + m.end()) for m in _PUBLIC.finditer(lines[i])] if told else []
+            spans.update(t for t in told if not any(t[0] < y and x < t[1] for x, y in public))
         for a, b, kind in sorted(spans, key=lambda s: (s[0], -s[1])):
             if not found or a >= found[-1].end:
                 found.append(Found(i + 1 + text.count("\n", begin, a), a, b, kind))
@@ -370,16 +420,19 @@ def redact(text: str, found: list[Found], mark: str = REDACTED) -> str:
     return "".join(out)
 
 
-def lines_to_look_at(texts: pa.Array) -> Iterator[tuple[int, list[int]]]:
-    """(number of the text, numbers of its lines worth a look), found by RE2 on all lines of a batch at once."""
+def lines_to_look_at(texts: pa.Array) -> Iterator[tuple[int, list[tuple[int, bool, bool]]]]:
+    """(number of the text, its lines that are contexts, as find_secrets takes them), found by RE2 on all lines of a batch at once."""
     split = pc.split_pattern(texts, "\n")
     first = np.asarray(split.offsets.to_numpy(), np.int64)
-    hits = np.flatnonzero(pc.match_substring_regex(split.values, _LOOK).to_numpy(zero_copy_only=False)) if len(split.values) else np.zeros(0, np.int64)
+    if not len(split.values):
+        return
+    ruled, remark = (pc.match_substring_regex(split.values, p).to_numpy(zero_copy_only=False) for p in (_LOOK, _REMARK))
+    hits = np.flatnonzero(ruled | remark)
     owner = np.searchsorted(first, hits, side="right") - 1
     cuts = np.flatnonzero(np.diff(owner)) + 1
     for lines, own in zip(np.split(hits, cuts), np.split(owner, cuts)):
         if len(lines):
-            yield int(own[0]), (lines - first[own[0]]).tolist()
+            yield int(own[0]), list(zip((lines - first[own[0]]).tolist(), ruled[lines].tolist(), remark[lines].tolist()))
 
 
 def _judge_of(raw: bytes) -> Judge:
@@ -397,9 +450,9 @@ def secrets_in(df: DataFrame, text: str, keys: list[str], *, dictionary: str = D
 
     Literals are segmented into dictionary words (of a public vocabulary, read by the driver: a fixed
     file) by Viterbi. What is left unexplained makes a literal a credential where it stands in an
-    assignment to a secret name, a login, a URL, a header or a remark; digests, ids, public keys,
-    placeholders and references are excluded by their format. A regular expression picks the lines
-    to look at; whole texts are read, in one pass, without a shuffle.
+    assignment to a secret name, a login, a URL, a header or a remark (LEAST); digests, ids, public keys,
+    placeholders and references are excluded by their format. In remarks every token is segmented. A regular
+    expression picks the lines that are such a context; whole texts are read, in one pass, without a shuffle.
 
     Defined results: a null or empty text has no credentials; lines end at line feeds only; a key
     over several lines counts once, where it starts; repeated rows are each reported; lines of over 20,000 characters are read in windows around each hit that
@@ -413,11 +466,11 @@ def redacted(df: DataFrame, text: str, keys: list[str], *, dictionary: str = DIC
     return _run(df, text, keys, dictionary, [T.StructField("redacted_text", T.StringType()), T.StructField("credentials", T.IntegerType())], _redactions)
 
 
-def _rows(text: str, judge: Judge, look: list[int]) -> Iterator[tuple]:
+def _rows(text: str, judge: Judge, look: list[tuple[int, bool, bool]]) -> Iterator[tuple]:
     return ((f.line, f.start, f.end, f.kind) for f in find_secrets(text, judge, look))
 
 
-def _redactions(text: str, judge: Judge, look: list[int]) -> Iterator[tuple]:
+def _redactions(text: str, judge: Judge, look: list[tuple[int, bool, bool]]) -> Iterator[tuple]:
     found = find_secrets(text, judge, look)
     if found:
         yield redact(text, found), len(found)

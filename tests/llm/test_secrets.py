@@ -4,7 +4,7 @@ from pathlib import Path
 import pyarrow as pa
 import pytest
 
-from lintlake.llm.secrets import DICTIONARY, REDACTED, _judge_of, find_secrets, lines_to_look_at, redact, redacted, secrets_in
+from lintlake.llm.secrets import DICTIONARY, REDACTED, Judge, Segmenter, _judge_of, find_secrets, lines_to_look_at, redact, redacted, secrets_in
 
 JUDGE = _judge_of(Path(DICTIONARY).read_bytes())
 YES = """password = "Trestle&Hollow9367"
@@ -126,7 +126,7 @@ connect( 'db.example', 'user_1', 'Ledger*Brisk8004')""".split("\n")
 @pytest.mark.parametrize("line", RULES)
 def test_every_rule_passes_the_filter(line):
     text = "x = 1\n" + line + "\ny"
-    assert dict(lines_to_look_at(pa.array([text]))).get(0) == [1]
+    assert 1 in [i for i, *_ in dict(lines_to_look_at(pa.array([text]))).get(0)]
     assert [f.line for f in find_secrets(text, JUDGE)] == [2]
 
 
@@ -158,3 +158,25 @@ def test_a_public_key_hides_no_password_beside_it():
     for public in (f"ssh-rsa {key} bob_12@host", f"-----BEGIN PUBLIC KEY-----\\n{key}\\n-----END PUBLIC KEY-----"):
         text = f'{{"user": "bob", "public_key": "{public}", "password": "Trestle&Hollow9367"}}'
         assert [text[f.start : f.end] for f in find_secrets(text, JUDGE)] == ["Trestle&Hollow9367"]
+
+
+REMARKS = ["# the server in the cellar answers to uNx8RkP4QeYk!", "Ask Bob first, then try brisk-urn-beacon-5197 at the gate", "// Orchard&Zesty7294 is what the old box wants", "# old key was e1c69633f48ee1624e056861de7d4f9005467c8b2c75451d22dfbf61cb678060"]
+NO_REMARKS = ["# tested on Windows2000 and with getUserName", "# see CVE-2021-44228 and RFC2616 for x86_64 hosts", "# built from e1c69633f48ee1624e056861de7d4f9005467c8b2c75451d22dfbf61cb678060", "# renamed in version v2.3.1-rc1 of 2024-01-02", "# icon is data:image/png;base64,iVBORw0KGgocRvfuaxnjY8BY0Wd9qyMhNuCuiY0da1YQ2C50Hd0z", "+  tIIaiu7afUanuU2Qv03eAe2t6PL4cMCHJFIKwMW6AsiAQ0lnkN8BjbNEg6MSxdU"]
+
+
+def test_remarks_need_no_listed_word():
+    for line in REMARKS:
+        assert [f.line for f in find_secrets("x = 1\n" + line, JUDGE)] == [2], line
+    for line in NO_REMARKS:
+        assert find_secrets("x = 1\n" + line, JUDGE) == [], line
+
+
+def test_the_dictionary_decides():
+    """Without the dictionary remarks and names of plain words are taken for credentials; with digits alone in its place words are missed."""
+    none = Judge(Segmenter({}))
+    lines = ["# see the DatabaseSession2Handler for details", "# HttpServer404Page is shown then", 'token = "session_cookie_name"', 'password = "ChangePasswordDialog"']
+    assert not any(find_secrets(x, JUDGE) for x in lines) and all(find_secrets(x, none) for x in lines)
+    digits = Judge(Segmenter({}))
+    digits.words.residual = lambda text: sum(c.isdigit() for c in text)
+    spelt = 'password = "qXvbTrzkLmwp"'
+    assert find_secrets(spelt, JUDGE) and not find_secrets(spelt, digits)
