@@ -50,8 +50,8 @@ def rolling_totals(df: DataFrame, entity: str, day: str, values: Sequence[str],
     Returns entity, day, day_number (1 on the entity's first day), entries (rows of that day) and,
     for each value v and period p, v_total_<p>d and v_avg_<p>d (the total over p days, active or not).
 
-    Defined results: null entity or day: left out; null and NaN values count 0, infinite ones give
-    infinite or NaN totals for as long as a dense block holds them; repeated rows all count (drop
+    Defined results: null entity or day: left out; null and NaN values count 0; an infinite one makes the
+    totals infinite of those days whose period holds it, and infinities of both signs make them null; repeated rows all count (drop
     re-sent rows first); an empty table gives no rows; other columns of df are ignored.
     """
     periods = tuple(sorted(set(map(int, periods))))
@@ -93,6 +93,16 @@ def _bands(periods: Sequence[int], tile: int) -> dict[int, np.ndarray]:
     return {p: ((at <= to) & (at > to - p)).astype(np.float64) for p in periods}
 
 
+def _banded(block: np.ndarray, band: np.ndarray) -> np.ndarray:
+    """block @ band, where an infinity counts in the days of its own period only."""
+    if np.isfinite(block).all():
+        return block @ band
+    wild = np.isnan(block)
+    above, below = ((block == np.inf) | wild) @ band > 0, ((block == -np.inf) | wild) @ band > 0
+    total = np.where(np.isfinite(block), block, 0.0) @ band
+    return np.where(above & below, np.nan, np.where(above, np.inf, np.where(below, -np.inf, total)))
+
+
 def _dense(rows: pd.DataFrame, n_values: int, periods: Sequence[int], bands: dict[int, np.ndarray], tile: int, per_block: int, names: list[str]) -> Iterator[pd.DataFrame]:
     codes, labels = pd.factorize(rows["e"])
     days = rows["d"].to_numpy(np.int64)
@@ -123,7 +133,7 @@ def _dense(rows: pd.DataFrame, n_values: int, periods: Sequence[int], bands: dic
             k = 4
             for v in range(n_values):
                 for p in periods:
-                    total = (dense[v + 1] @ bands[p])[i, j]
+                    total = _banded(dense[v + 1], bands[p])[i, j]
                     out[names[k]], out[names[k + 1]] = total, total / p
                     k += 2
             yield pd.DataFrame(out)

@@ -43,8 +43,9 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_rolling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Totals and averages of every metric."""
-    return _rolled(spark, sf_dir, METRICS).withColumn("day", F.date_format("day", "yyyy-MM-dd"))
+    """Totals and averages of every metric, to six decimals."""
+    rolled = _rolled(spark, sf_dir, METRICS)
+    return rolled.select("author", F.date_format("day", "yyyy-MM-dd").alias("day"), "day_number", "entries", *[F.round(c, 6).alias(c) for c, kind in rolled.dtypes if kind == "double"])
 
 
 QUERIES = {"p1_found": p1_found, "p1_ranked": p1_ranked, "p2_found": p2_found, "p2_rolling": p2_rolling}
@@ -95,5 +96,6 @@ def _p2(keys: tuple[str, ...]) -> str:
 SQL = {
     "p1_found": _P1 + "SELECT file, fn_id FROM ranked WHERE rank <= 3",
     "p1_ranked": _P1 + "SELECT file, rank, fn_id, name, line, end_line, length, cyclomatic, max_nesting, cognitive, params FROM ranked WHERE rank <= 3",
+    "p2_rolling": _p2(METRICS) + "SELECT author, day, day_number, entries, " + ", ".join(f"round({k}_{what}_{p}d, 6) AS {k}_{what}_{p}d" for k in METRICS for p in (7, 30) for what in ("total", "avg")) + " FROM rolled",
     "p2_found": _p2(("reviews",)) + "SELECT author, day FROM rolled WHERE day_number >= 30 AND reviews_total_7d * 2 > reviews_total_30d",
 }

@@ -48,6 +48,22 @@ def test_partition_count_makes_no_difference(spark):
     assert got(spark, []) == {}
 
 
+def test_infinities_count_in_their_own_periods(spark):
+    inf = float("inf")
+    rows = [("a", d, {40: inf, 60: -inf, 65: inf}.get(d, 1.0), 1.0, "") for d in range(1, 100)] + [("b", 40, 2.0, 2.0, "")]
+    out = got(spark, rows)
+    for d in range(1, 100):
+        held = {x for x in (40, 60, 65) if d - 6 <= x <= d}
+        want = 7.0 if d >= 7 else d * 1.0
+        total = out["a", d]["v_total_7d"]
+        if held >= {60, 65}:
+            assert total is None
+        else:
+            assert total == (inf if held & {40, 65} else -inf if held else want), d
+        assert out["a", d]["w_total_7d"] == want
+    assert out["b", 40]["v_total_30d"] == 2.0
+
+
 def test_instants(spark):
     told = {"2024-06-19T02:36:40+09:00": 19892, "2024-06-19T19:33:52Z": 19893, "2024-07-17 04:02:30": 19921, "20240701T102522Z": 19905, "20240701T0030+0200": 19904, "2024-01-02": 19724, "2024-01-02T10:20-05:00": 19724, " 2024-01-02T10:20:30,5Z ": 19724, "2025-13-40": None, "yesterday": None, "": None, None: None}
     rows = spark.createDataFrame([(t,) for t in told], "t string").select("t", utc_day(parse_instant(F.col("t"))).alias("d")).collect()
