@@ -26,6 +26,19 @@ def _pattern(size: Column, least: Column) -> Column:
     )
 
 
+def _sums(values: Column, first: Column) -> Column:
+    """The first value, and its sums with ever more of the values."""
+    return F.aggregate(values, F.array(first), lambda a, x: F.array_append(a, F.element_at(a, -1) + x))
+
+
+def _before(lengths: Column, block: int = 256) -> Column:
+    """Sums of the elements before each one, by blocks, so that no long array is copied for every element."""
+    zero = F.lit(0)
+    blocks = F.transform(F.sequence(zero, F.floor(F.greatest(F.size(lengths) - 1, zero) / block).cast("int")), lambda b: F.slice(lengths, b * block + 1, F.lit(block)))
+    totals = _sums(F.transform(blocks, lambda y: F.aggregate(y, zero, lambda s, x: s + x)), zero)
+    return F.flatten(F.zip_with(blocks, F.slice(totals, F.lit(1), F.size(totals) - 1), lambda y, t: F.slice(_sums(y, t), F.lit(1), F.size(y))))
+
+
 def split_oversized(df: DataFrame, text: str, limit: Column, overlap_lines: Column, *, prefix: str = "piece") -> DataFrame:
     """One row for each piece of every text that has more than limit characters (code points).
 
@@ -35,9 +48,10 @@ def split_oversized(df: DataFrame, text: str, limit: Column, overlap_lines: Colu
     at the strongest boundary that a bounded regular expression finds, and is preceded by the last
     overlap_lines lines of the piece before; the own parts in order make up the text again.
 
-    Room for the overlap is set aside beforehand: overlap_lines times the longest line of the text,
-    half the limit at most. Where lines are so long that the wanted lines exceed half the limit,
-    as many last characters of them are repeated as fit into that half.
+    Room for the overlap is set aside beforehand: overlap_lines times the longest of those lines that are
+    short enough to be repeated within half the limit. Such lines are always repeated whole. Longer ones are repeated
+    whole where the piece leaves them room up to the limit, else the lines after them alone; if the last
+    line alone does not fit, as many of its last characters as the room takes.
 
     All by SQL functions in the JVM, row by row, without a shuffle; pieces are cut out of the text by
     place. Characters outside the basic plane are masked while boundaries are sought, one for one.
@@ -51,14 +65,20 @@ def split_oversized(df: DataFrame, text: str, limit: Column, overlap_lines: Colu
         df.select(F.struct(*[F.col(c) for c in rest]).alias("row") if rest else F.struct(F.lit(0).alias("_")).alias("row"), F.col(f"`{text}`").alias("t"), limit.cast("int").alias("most"), F.greatest(F.coalesce(overlap_lines.cast("int"), F.lit(0)), F.lit(0)).alias("lines"))
         .where("most > 0 and length(t) > most")
         .withColumn("masked", F.expr(r"CASE WHEN t RLIKE '[\\x{10000}-\\x{10FFFF}]' THEN regexp_replace(t, '[\\x{10000}-\\x{10FFFF}]', 'x') ELSE t END"))
-        .withColumn("room", F.expr(r"CASE WHEN lines = 0 THEN 0 ELSE CAST(least(CAST(lines AS BIGINT) * (array_max(transform(split(t, '\n'), x -> length(x))) + 1), CAST(most DIV 2 AS BIGINT)) AS INT) END"))
+        .withColumn("half", F.expr("most DIV 2"))
+        .withColumn("room", F.expr(r"CASE WHEN lines = 0 THEN 0 ELSE CAST(least(CAST(lines AS BIGINT) * (coalesce(array_max(filter(transform(split(t, '\n'), x -> length(x) + 1), n -> CAST(n AS BIGINT) * lines <= half)), half) ), CAST(half AS BIGINT)) AS INT) END"))
         .withColumn("size", F.expr("most - room"))
         .withColumn("lengths", F.transform(F.regexp_extract_all("masked", _pattern(F.col("size").cast("string"), F.expr("CAST(greatest(size DIV 2, 1) AS STRING)")), F.lit(0)), F.length))
-        .withColumn("starts", F.expr("aggregate(lengths, array(0), (a, x) -> array_append(a, element_at(a, -1) + x))"))
+        .withColumn("starts", _before(F.col("lengths")))
     )
-    cut = long.select("row", "t", "lines", "room", F.size("lengths").alias("n"), F.posexplode(F.arrays_zip(F.expr("slice(starts, 1, size(lengths))").alias("at"), F.col("lengths").alias("own"))).alias("i", "p"))
-    seen = cut.withColumn("before", F.expr("CASE WHEN i = 0 OR room = 0 THEN '' ELSE substring(t, greatest(p.at - room, 0) + 1, least(room, p.at)) END"))
-    back = seen.withColumn("overlap", F.expr(r"CASE WHEN lines = 0 OR i = 0 THEN 0 ELSE length(substring_index(before, '\n', -(lines + CASE WHEN endswith(before, '\n') THEN 1 ELSE 0 END))) END"))
+    cut = long.select("row", "t", "lines", "room", "most", F.size("lengths").alias("n"), F.posexplode(F.arrays_zip(F.col("starts").alias("at"), F.col("lengths").alias("own"))).alias("i", "p"))
+    # what precedes the piece, as far as the piece leaves room, and one character more that tells whether it begins a line
+    seen = cut.withColumn("free", F.expr("CASE WHEN i = 0 OR lines = 0 THEN 0 ELSE least(most - p.own, p.at) END")).withColumn("before", F.expr("substring(t, p.at - free + 1, free)"))
+    last = seen.withColumn("wanted", F.expr(r"substring_index(before, '\n', -(lines + CASE WHEN endswith(before, '\n') THEN 1 ELSE 0 END))"))
+    # the wanted lines are whole if fewer than all characters are wanted, or the first one begins a line
+    whole = F.expr(r"length(wanted) < free OR free = p.at OR substring(t, p.at - free, 1) = '\n'")
+    complete = F.expr(r"CASE WHEN instr(wanted, '\n') > 0 THEN length(wanted) - instr(wanted, '\n') ELSE 0 END")
+    back = last.withColumn("overlap", F.when(F.col("free") == 0, 0).when(whole, F.length("wanted")).when(complete > 0, complete).otherwise(F.least(F.length("wanted"), F.col("room"))).cast("int"))
     return back.select(
         *[F.col(f"row.{c}") for c in rest],
         (F.col("i") + 1).alias(f"{prefix}_no"),

@@ -19,17 +19,23 @@ def pieces(spark, rows):
 
 def check(text, most, lines, got):
     assert "".join(p.piece_text[p.piece_overlap :] for p in got) == text
-    longest = max(map(len, text.split("\n")))
     for a, b in zip(got, got[1:]):
         assert len(b.piece_text) <= most and len(a.piece_text) <= most
         assert b.piece_start == a.piece_start + len(a.piece_text) - a.piece_overlap
         repeated = b.piece_text[: b.piece_overlap]
         assert a.piece_text.endswith(repeated)
         k = max(lines or 0, 0)
-        if k and k * (longest + 1) <= most // 2:
-            tail = a.piece_text.split("\n")
-            want = "\n".join(tail[-k - 1 :] if tail[-1] == "" else tail[-k:])
-            assert repeated == want
+        if k:  # the wanted lines are repeated whole if each of them is short or the piece leaves room for them
+            before = text[: b.piece_start]
+            tail = before.split("\n")
+            tail = tail[-k - 1 :] if tail[-1] == "" else tail[-k:]
+            want = "\n".join(tail)
+            free = most - (len(b.piece_text) - b.piece_overlap)
+            if all((len(x) + 1) * k <= most // 2 for x in tail) or len(want) <= free:
+                assert repeated == want
+            elif len(tail[-1] or tail[-2]) + 1 <= free:  # whole lines, as many as fit
+                assert repeated and before[: len(before) - len(repeated)].endswith("\n")
+            assert len(repeated) <= max(free, 0) and before.endswith(repeated)
         if not k:
             assert repeated == ""
 
@@ -49,6 +55,20 @@ def test_round_trip_against_constraints(spark):
             check(text, most, lines, got[i])
 
 
+def test_a_long_line_shrinks_no_other_piece(spark):
+    plain = "".join(f"line {i:03d} of some code\n" for i in range(200))
+    long = plain[:2300] + "x" * 400 + "\n" + plain[2300:]
+    got = pieces(spark, [(plain, 200, 2), (long, 200, 2)])
+    own = lambda ps: [len(p.piece_text) - p.piece_overlap for p in ps]
+    assert own(got[0])[:12] == own(got[1])[:12] and max(own(got[1])) >= max(own(got[0]))
+    check(long, 200, 2, got[1])
+
+
+def test_many_pieces(spark):
+    got = pieces(spark, [("ab\n" * 3000, 6, 1)])[0]
+    assert len(got) > 2000 and "".join(p.piece_text[p.piece_overlap :] for p in got) == "ab\n" * 3000
+
+
 def test_natural_boundaries_win(spark):
     text = ("def f():\n    return 1\n\n    # more\n" * 3 + "\n") * 20
     got = pieces(spark, [(text, 400, 0)])[0]
