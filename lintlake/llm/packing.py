@@ -10,10 +10,11 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lintlake.llm.kernel import portions
 from lintlake.sources.tables import materialize
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -38,8 +39,8 @@ def token_counts(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = _encoder(*shared.value).encode_ordinary
-        for batch in batches:
-            counts = [len(encode(t)) for t in batch.column(1).to_pylist()]
+        for batch in (part for whole in batches for part in portions(whole, 1)):
+            counts = [len(encode(t.as_py())) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64())], names=["doc_id", "tokens"])
 
     schema = T.StructType([T.StructField("doc_id", documents.schema[doc_id].dataType), T.StructField("tokens", T.LongType())])
@@ -155,7 +156,7 @@ def pack(sizes: DataFrame, capacities: DataFrame, *, buckets: int = 128, rows_a_
     where dynamic programming chooses the bucket bounds that minimise padding and the batches are
     laid out by arithmetic on the bucket counts. Every piece then finds its place from its rank in
     its bucket. Ranks are numbered in salted parts of about rows_a_salt rows, so a bucket that holds
-    a third of all pieces is no single task; only part counts meet on the driver.
+    a third of all pieces is no single task; the counts of the parts are joined as a table.
 
     sizes is read twice: give a written table (token_counts through materialize). Returns
     container_kind, container_no (from 0 in each kind), doc_id, piece_no (from 0), token_start and tokens.
@@ -192,14 +193,9 @@ def pack(sizes: DataFrame, capacities: DataFrame, *, buckets: int = 128, rows_a_
     # at most one row for each token of the capacities
     lookup = F.broadcast(spark.createDataFrame(table, "k int, tokens int, bucket int, salts int"))
     placed = pieces.join(lookup, ["k", "tokens"]).withColumn("salt", F.expr("CAST(pmod(xxhash64(doc_id, piece_no), salts) AS INT)"))
-    parts = sorted(tuple(r) for r in placed.groupBy("k", "bucket", "salt").agg(F.count(F.lit(1)).alias("n")).collect())
-    offsets, before, last = [], 0, None
-    for k, b, salt, n in parts:
-        before = before if last == (k, b) else 0
-        offsets.append((k, b, salt, before))
-        before, last = before + n, (k, b)
-    # one row for each bucket and each rows_a_salt pieces
-    offset = F.broadcast(spark.createDataFrame(offsets, "k int, bucket int, salt int, below bigint"))
+    # one row for each bucket and each rows_a_salt pieces: written, so that its size is known when it is joined
+    before = F.sum("n").over(Window.partitionBy("k", "bucket").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1))
+    offset = materialize(placed.groupBy("k", "bucket", "salt").agg(F.count(F.lit(1)).alias("n")).select("k", "bucket", "salt", F.coalesce(before, F.lit(0)).alias("below")), "offsets")
     by_bucket: dict[tuple[int, int], list] = {}
     for k, b, low, high, start, per in laid:
         by_bucket.setdefault((k, b), []).append((low, high, start, per))
