@@ -25,18 +25,17 @@ CLASSES = ("generated", "minified", "vendored", "data")
 
 # ---- giveaways: they label the training files, and are masked in what the classifiers read
 
-_COMMENT = r"(?m)^[ \t﻿]*(?:#|//|--|/\*+!?|\*|<!--|;|%|\"\"\"|''')[^\n]*"
+_COMMENT = r"[ \t﻿]*(?:#|//|--|/\*+!?|\*|<!--|;|%|\"\"\"|''')[^\n]*"
 _COMMENT_LINE = re.compile(_COMMENT)
-_TOOL_HEADER = re.compile(
-    r"(?i)\bauto-?\s?generated\b|\bgenerated (?:by|file|from|code|at|on|with|using)\b|\bcode generated\b|@generated\b|\bautomatically (?:generated|produced|created)\b|\bmachine[- ](?:written|generated|made)\b|\bautomatisch (?:erzeugt|generiert|erstellt)\b|\bgenerado autom|\bregenerate\b|\bdo not (?:edit|modify)\b[^\n]{0,25}(?:\.|by hand|manually|$)|\bmanual changes will be lost\b|\boverwritten on the next\b"
-)
-_NO_TOOL = re.compile(r"(?i)\bnot (?:auto-?)?generated\b|\bused to be\b|\bno longer\b|\bretired\b|\bnow maintained\b|\bfreely\b|\bwithout asking\b|\bthe (?:auto-?generated|generated|automatically)\b|\bby hand;|\bnever generated\b|\bif generated\b|\brejects?\b|\bskips?\b|\bfixtures?\b")
-_COPY_HEADER = re.compile(
-    r"(?i)\bcopied (?:unchanged |verbatim |as is )?from\b|\bimported from the \S+ (?:repository|project)\b|\bbundled copy\b|\bvendored (?:copy|from)\b|\bupstream revision\b|\bproblems upstream\b|@license \S+ v?\d|\(c\) its authors\b|https?://\S+/releases/v?\d|\bproject and other authors\b|\bthird[- ]party (?:code|source) from\b"
-)
-_NO_COPY = re.compile(r"(?i)\bskips?\b|\bnever\b|\bcompared\b|\bnot (?:a copy|copied)\b|\brejects?\b")
-_LICENCE = re.compile(r"(?i)\bcopyright\b|\blicen[sc]ed?\b|\bspdx\b|\ball rights reserved\b|\buse is permitted\b|\(c\)")
-_HEAD_LINES, _TAIL_LINES = 40, 5
+# What a comment line says: that a tool wrote the file (as linguistic conventions of generators have it, in three
+# languages), that it comes from another project, or that it is under a licence. In the syntax that RE2 reads too.
+_TOOL_SAYS = r"\bauto-?\s?generated\b|\bgenerated (?:by|file|from|code|at|on|with|using)\b|\bcode generated\b|@generated\b|\bautomatically (?:generated|produced|created)\b|\bmachine[- ](?:written|generated|made)\b|\bautomatisch (?:erzeugt|generiert|erstellt)\b|\bgenerado autom|\bregenerate (?:rather than|instead of|it|this)\b|\bdo not (?:edit|modify)\b[^\n]{0,25}(?:\.|by hand|manually|\n|$)|\bmanual changes will be lost\b|\boverwritten (?:on|by|at) the next\b"
+_COPY_SAYS = r"\b(?:copied|vendored|imported|adapted|taken|bundled|ported)\b[^\n]{0,40}\bfrom\b|\b(?:bundled|vendored|verbatim|unmodified) copy\b|\bupstream (?:revision|commit|version|tag)\b|@(?:license|preserve) \S+ v?\d|\bhttps?://\S+/releases?/v?\d|\b\d+\.\d+\.\d+\b[^\n]*(?:\blicen[sc]ed?\b|\bcopyright\b|\(c\))"
+_LICENCE_SAYS = r"\bcopyright\b|\blicen[sc]ed?\b|\bspdx\b|\ball rights reserved\b|\buse is permitted\b|\(c\)"
+_SAYS = f"(?i){_TOOL_SAYS}|{_COPY_SAYS}|{_LICENCE_SAYS}"
+_TOOL_HEADER, _COPY_HEADER, _ANY_HEADER = (re.compile(f"(?i){x}") for x in (_TOOL_SAYS, _COPY_SAYS, f"{_TOOL_SAYS}|{_COPY_SAYS}|{_LICENCE_SAYS}"))
+# A line that only speaks of such things: it negates them, or names them as its object.
+_NO_HEADER = re.compile(r"(?i)\b(?:not|never|no longer|used to be|if|the) (?:been )?(?:auto-?\s?|automatically )?(?:generated|produced|created|copied)\b|\bthe automatically\b")
 
 _TOOL_FILE = re.compile(r"(?i)(?:(?:^|/)zz_generated[^/]*|_pb2(?:_grpc)?\.pyi?|\.pb\.(?:go|cc|h)|\.(?:gen|g|generated|designer)\.\w+|[-.]lock\.\w+|(?:^|/)(?:package-lock|npm-shrinkwrap|composer|yarn|poetry|pipfile|cargo|gemfile)(?:-lock|\.lock)(?:\.\w+)?|package-\w*lock\w*\.json|\.lock|\.map)$")
 _TOOL_TEXT = re.compile(r"\A\s*\{\s*\"(?:lockVersion|lockfileVersion|_lock)\"|\"mappings\"\s*:\s*\"[A-Za-z0-9+/,;]{20}")
@@ -45,40 +44,34 @@ _COPY_FOLDER = {"vendor", "_vendor", "third_party", "third-party", "thirdparty",
 _COPY_BESIDE = re.compile(r"(?i)^(?:licen[sc]e|copying|authors|changelog|changes|version|upstream|notice|contributors)(?:\.(?:md|txt|rst|adoc|html))?$")
 
 
-def _lines_at_ends(text: str) -> Iterator[re.Match]:
-    """Comment lines among the first and last lines of a text."""
-    cut = -1
-    for _ in range(_HEAD_LINES):
-        cut = text.find("\n", cut + 1)
-        if cut < 0:
-            cut = len(text)
-            break
-    yield from _COMMENT_LINE.finditer(text, 0, min(cut, 8000))
-    back = len(text)
-    for _ in range(_TAIL_LINES):
-        back = text.rfind("\n", 0, max(back, 0))
-    if back > cut:
-        yield from _COMMENT_LINE.finditer(text, max(back, len(text) - 4000))
+def _said(text: str) -> Iterator[tuple[int, int, str]]:
+    """(begin, end, line) of every comment line of a text that says something of its origin or licence."""
+    done = -1
+    for m in _ANY_HEADER.finditer(text):
+        if m.start() < done:
+            continue
+        begin, end = text.rfind("\n", 0, m.start()) + 1, text.find("\n", m.start())
+        done = len(text) if end < 0 else end
+        if _COMMENT_LINE.match(text, begin):
+            yield begin, done, text[begin:done]
 
 
 def giveaways(text: str) -> tuple[bool, bool, str]:
     """(a tool is named as the author, another project is named as the source, the text with such lines masked)."""
     tool = copy = False
-    drop: list[tuple[int, int]] = []
-    for m in _lines_at_ends(text):
-        line = m.group()
-        says_tool = bool(_TOOL_HEADER.search(line)) and not _NO_TOOL.search(line)
-        says_copy = bool(_COPY_HEADER.search(line)) and not _NO_COPY.search(line)
-        tool, copy = tool or says_tool, copy or says_copy
-        if says_tool or says_copy or _LICENCE.search(line) or _TOOL_HEADER.search(line) or _COPY_HEADER.search(line):
-            drop.append(m.span())
-    if drop:
-        kept, at = [], 0
-        for a, b in drop:
-            kept.append(text[at:a])
-            at = b
-        text = "".join([*kept, text[at:]]).lstrip("\n\r ")
-    return tool, copy, text
+    kept, at = [], 0
+    for begin, end, line in _said(text):
+        plain = not _NO_HEADER.search(line)
+        tool, copy = tool or plain and bool(_TOOL_HEADER.search(line)), copy or plain and bool(_COPY_HEADER.search(line))
+        kept.append(text[at:begin])
+        at = end
+    return tool, copy, "".join([*kept, text[at:]]).lstrip("\n\r ") if kept else text
+
+
+def giveaways_of(texts: pa.Array) -> list[tuple[bool, bool, str]]:
+    """giveaways() of every text; RE2 finds those that say nothing at all in one pass."""
+    says = pc.match_substring_regex(texts, _SAYS).to_pylist()
+    return [giveaways(t) if s else (False, False, t) for t, s in zip(texts.to_pylist(), says)]
 
 
 def beside(structure: str | None) -> dict[str, set[str]]:
@@ -212,10 +205,12 @@ _PRECISION = 0.985
 class Model:
     weights: np.ndarray  # WIDTH x classes
     bias: np.ndarray
+    bar: np.ndarray  # how far above 0 a class counts where no giveaway speaks for it
     report: list[tuple]  # class, training files, positives, validation files, positives, precision, recall
 
     def scores(self, x: np.ndarray) -> np.ndarray:
-        return x @ self.weights + self.bias
+        """How far each file is over the bar of each class."""
+        return x @ self.weights + self.bias - self.bar
 
 
 def fit_svm(x: np.ndarray, y: np.ndarray, use: np.ndarray, c: float = 1.0, newton: int = 7, inner: int = 12) -> tuple[np.ndarray, np.ndarray]:
@@ -263,12 +258,13 @@ def fit_svm(x: np.ndarray, y: np.ndarray, use: np.ndarray, c: float = 1.0, newto
 
 
 def train(files: list[tuple]) -> Model:
-    """files: (root, path, content, siblings). A fifth of the repositories is held out for validation.
+    """files: (root, path, content, siblings). A fifth of the repositories is held out, for the report alone.
 
     Unlabelled files count as hand-written, but for those whose lines repeat as a tool writes them and
     those that classifiers trained on other repositories find near the other side: a missing
     giveaway proves nothing, so they teach nothing. The bar of each class is the lowest that keeps
-    the precision on the held-out repositories."""
+    the precision on the other half of the repositories than the classifier was trained on; neither decision sees the
+    held-out fifth."""
     masked, given, roots, paths = [], [], [], []
     for root, path, content, siblings in files:
         tool, copy, rest = giveaways(content)
@@ -278,7 +274,7 @@ def train(files: list[tuple]) -> Model:
         paths.append(path)
     y = np.array(given, bool).reshape(-1, len(CLASSES))
     if not len(y) or not y.any():
-        return Model(np.zeros((WIDTH, len(CLASSES)), np.float32), np.full(len(CLASSES), -1.0, np.float32), [])
+        return Model(np.zeros((WIDTH, len(CLASSES)), np.float32), np.full(len(CLASSES), -1.0, np.float32), np.zeros(len(CLASSES), np.float32), [])
     x = np.empty((len(paths), WIDTH), np.float32)
     for a in range(0, len(paths), 128):
         x[a : a + 128] = features(pa.array(masked[a : a + 128], pa.large_string()), paths[a : a + 128])
@@ -288,30 +284,33 @@ def train(files: list[tuple]) -> Model:
     labelled = y.any(1)
     code = np.array([bool(re.search(r"\.(?:py|pyi|js|mjs|jsx|ts|tsx|go|java|rs|c|cc|cpp|h|cs|rb|php|kt|scala|sql)$", p)) for p in paths])
     unsure = ~labelled & code & (x[:, -1] > 0.6)  # lines repeat as a tool writes them, but nothing says so
+    score, crossed = np.zeros(y.shape, np.float32), np.zeros(len(y), bool)  # of each half by the other half's classifiers
     for half in (learn & (fold < 3), learn & (fold >= 3)):
         rest = learn & ~half & ~unsure
         if y[rest].any() and half.any():
-            w, b = fit_svm(x, y, rest, newton=4, inner=8)
-            told = np.delete(x @ w + b, CLASSES.index("vendored"), 1)  # a copy reads like any code
-            unsure |= half & ~labelled & (told.max(1) > -0.25)
+            w, b = fit_svm(x, y, rest)
+            score[half] = x[half] @ w + b
+            crossed |= half
+    told = np.delete(score, CLASSES.index("vendored"), 1)  # a copy reads like any code
+    unsure |= crossed & ~labelled & (told.max(1) > -0.25)
     clean = learn & ~unsure
     w, b = fit_svm(x, y, clean)
-    # A class whose giveaways say more than the texts do needs a higher bar; the held-out files set it.
-    score = x @ w + b
+    # A class whose giveaways say more than the texts do needs a higher bar.
+    bar = np.zeros(len(CLASSES), np.float32)
     for k in range(len(CLASSES)):
-        own = score[held & ~unsure, k], y[held & ~unsure, k]
+        own = score[crossed & ~unsure, k], y[crossed & ~unsure, k]
         if own[1].sum() >= 5:
             bars = np.arange(0.0, 1.01, 0.05)
             exact = [((own[0] > t) & own[1]).sum() / max((own[0] > t).sum(), 1) for t in bars]
             fine = [t for t, e in zip(bars, exact) if e >= _PRECISION]
-            b[k] -= np.float32(fine[0] if fine else bars[int(np.argmax(exact))])
+            bar[k] = fine[0] if fine else bars[int(np.argmax(exact))]
     report = []
-    score = (x @ w + b)[held]
+    score = (x @ w + b - bar)[held]
     for k, name in enumerate(CLASSES):
         said, true = score[:, k] > 0, y[held][:, k]
         hit = int((said & true).sum())
         report.append((name, int(clean.sum()), int(y[clean][:, k].sum()), int(held.sum()), int(true.sum()), hit / max(int(said.sum()), 1), hit / max(int(true.sum()), 1)))
-    return Model(w, b, report)
+    return Model(w, b, bar, report)
 
 
 # ---- copies in other projects
@@ -462,7 +461,7 @@ def _shingled(files: DataFrame, wanted: DataFrame) -> DataFrame:
             hit = [i for i, p in enumerate(at.tolist()) if (flags := known.get(p >> 16)) is not None and flags[p & 0xFFFF]]
             if hit:
                 own = batch.take(pa.array(hit))
-                text, grams = _distinct_grams(words_of(*text_buffer(pa.array([giveaways(t)[2] for t in own.column(1).to_pylist()], pa.large_string()))))
+                text, grams = _distinct_grams(words_of(*text_buffer(pa.array([rest for *_, rest in giveaways_of(own.column(1))], pa.large_string()))))
                 edge = np.searchsorted(text, np.arange(len(hit) + 1))
                 yield pa.RecordBatch.from_arrays([own.column(0), pa.array([grams[a:b].tobytes() for a, b in zip(edge, edge[1:])], pa.binary())], names=["tid", "grams"])
 
@@ -574,7 +573,7 @@ def not_handwritten(files: DataFrame, model: Model) -> DataFrame:
     """One row for each file: its score (above 0: not written by hand here), the class, and what spoke for it.
 
     files: snapshot_id, root (the project), file, content, structure. The score is that of the
-    strongest classifier plus 2 for a header, suffix or neighbour that names the class, plus 1 for a folder
+    strongest classifier over its bar, plus 2 (and without the bar) for a header, suffix or neighbour that names the class, plus 1 for a folder
     of third-party code, plus 2 for a copy in another project. Three to four passes over the texts (fit reads a sample; one or two read
     the shingles of candidate copies), whole texts, no text is shuffled: only sketches of 240 bytes,
     shingles of candidates and scores are. Returns snapshot_id, file, score, kind, svm_score, giveaway, copied.
@@ -584,25 +583,24 @@ def not_handwritten(files: DataFrame, model: Model) -> DataFrame:
     scanned several times are one project, so a file is no copy of itself.
     """
     spark = files.sparkSession
-    shared = spark.sparkContext.broadcast((model.weights, model.bias))
+    shared = spark.sparkContext.broadcast((model.weights, model.bias, model.bar))
     schema = T.StructType([T.StructField("snapshot_id", files.schema["snapshot_id"].dataType), T.StructField("root", T.StringType()), T.StructField("file", T.StringType()), T.StructField("svm_score", T.DoubleType()), T.StructField("score", T.DoubleType()), T.StructField("kind", T.StringType()), T.StructField("giveaway", T.BooleanType()), T.StructField("sid", T.LongType()), T.StructField("tid", T.LongType()), T.StructField("n", T.LongType()), T.StructField("sig", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights, bias = shared.value
+        weights, bias, bar = shared.value
         cache: dict = {}
         for batch in (part for whole in batches for part in portions(whole, 3, 1 << 20)):
             paths = [p or "" for p in batch.column(2).to_pylist()]
             given, masked = [], []
-            for path, content, structure in zip(paths, batch.column(3).to_pylist(), batch.column(4).to_pylist()):
-                tool, copy, rest = giveaways(content)
+            for path, (tool, copy, rest), structure in zip(paths, giveaways_of(batch.column(3)), batch.column(4).to_pylist()):
                 masked.append(rest)
                 siblings = _siblings(structure, path, cache)
                 given.append([tool or bool(_TOOL_FILE.search(path)) or bool(_TOOL_TEXT.search(rest)), bool(_MIN_FILE.search(path)), copy or ("/" in path and any(_COPY_BESIDE.match(s) for s in siblings)), False])
             text = pa.array(masked, pa.large_string())
-            svm = features(text, paths) @ weights + bias
+            svm = features(text, paths) @ weights + bias - bar
             named = np.array(given, bool)
             folder = np.array([[0.0, 0.0, 1.0, 0.0] if _COPY_FOLDER & set(p.lower().split("/")[:-1]) else [0.0] * len(CLASSES) for p in paths])
-            total = svm + 2.0 * named + folder
+            total = svm + (2.0 + bar) * named + folder
             best = total.argmax(1)
             signatures, count, whole = _sketched(text)
             bands = band_keys(signatures)

@@ -98,7 +98,7 @@ def test_operator(spark):
     assert h.not_handwritten(files.where("snapshot_id < 0"), h.fit(files.where("snapshot_id < 0"))).count() == 0
 
 
-PLAIN = h.Model(np.zeros((h.WIDTH, len(h.CLASSES)), np.float32), np.full(len(h.CLASSES), -1.0, np.float32), [])
+PLAIN = h.Model(np.zeros((h.WIDTH, len(h.CLASSES)), np.float32), np.full(len(h.CLASSES), -1.0, np.float32), np.zeros(len(h.CLASSES), np.float32), [])
 
 
 def copied(spark, texts):
@@ -169,3 +169,15 @@ def test_what_is_learned_from_is_bounded(spark, monkeypatch):
     assert 0 < sum(len(f[2]) for f in seen[3]) <= 300
     h.fit(files.repartition(3), train_files=25)
     assert seen[4] == seen[2]
+
+
+def test_giveaways_stand_anywhere():
+    code = "".join(f"value_{i} = compute({i})\n" for i in range(120))
+    for text in (code + "# Code generated by tool v1. DO NOT EDIT.\n" + code, "x" * 12_000 + "\n" * 4 + "// AUTO GENERATED at build time\n" + code, code + "/* machine written by tool */"):
+        tool, copy, rest = h.giveaways(text)
+        assert tool and not copy and "enerated" not in rest.lower().replace("AUTO", "") and "machine" not in rest
+    assert h.giveaways("// Copied unchanged from other 1.2\n" + code)[:2] == (False, True)
+    for line in ("# This used to be auto-generated and is now kept by hand.", "# the automatically produced summary is sent", "# not generated by a tool", 'say("Code generated by x")'):
+        assert h.giveaways(code + line + "\n")[:2] == (False, False), line
+    texts = [code, code + "# Code generated by x\n", None and "", "", "// (c) 2020 team\n" + code]
+    assert h.giveaways_of(pa.array([t or "" for t in texts])) == [h.giveaways(t or "") for t in texts]
