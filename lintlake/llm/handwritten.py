@@ -44,34 +44,38 @@ _COPY_FOLDER = {"vendor", "_vendor", "third_party", "third-party", "thirdparty",
 _COPY_BESIDE = re.compile(r"(?i)^(?:licen[sc]e|copying|authors|changelog|changes|version|upstream|notice|contributors)(?:\.(?:md|txt|rst|adoc|html))?$")
 
 
-def _said(text: str) -> Iterator[tuple[int, int, str]]:
-    """(begin, end, line) of every comment line of a text that says something of its origin or licence."""
-    done = -1
-    for m in _ANY_HEADER.finditer(text):
-        if m.start() < done:
-            continue
-        begin, end = text.rfind("\n", 0, m.start()) + 1, text.find("\n", m.start())
-        done = len(text) if end < 0 else end
-        if _COMMENT_LINE.match(text, begin):
-            yield begin, done, text[begin:done]
+def _told(lines: list[str], says: list[bool]) -> tuple[bool, bool, str | None]:
+    """(a tool is named as the author, another project is named as the source, the text without the comment lines
+    that say something of origin or licence, or None if there are none). says: which lines may."""
+    tool = copy = False
+    drop = set()
+    for i, said in enumerate(says):
+        if said and _COMMENT_LINE.match(lines[i]):
+            plain = not _NO_HEADER.search(lines[i])
+            tool, copy = tool or plain and bool(_TOOL_HEADER.search(lines[i])), copy or plain and bool(_COPY_HEADER.search(lines[i]))
+            drop.add(i)
+    return tool, copy, "\n".join("" if i in drop else x for i, x in enumerate(lines)).lstrip("\n\r ") if drop else None
 
 
 def giveaways(text: str) -> tuple[bool, bool, str]:
     """(a tool is named as the author, another project is named as the source, the text with such lines masked)."""
-    tool = copy = False
-    kept, at = [], 0
-    for begin, end, line in _said(text):
-        plain = not _NO_HEADER.search(line)
-        tool, copy = tool or plain and bool(_TOOL_HEADER.search(line)), copy or plain and bool(_COPY_HEADER.search(line))
-        kept.append(text[at:begin])
-        at = end
-    return tool, copy, "".join([*kept, text[at:]]).lstrip("\n\r ") if kept else text
+    lines = text.split("\n")
+    tool, copy, rest = _told(lines, [bool(_ANY_HEADER.search(x)) for x in lines])
+    return tool, copy, text if rest is None else rest
 
 
 def giveaways_of(texts: pa.Array) -> list[tuple[bool, bool, str]]:
-    """giveaways() of every text; RE2 finds those that say nothing at all in one pass."""
-    says = pc.match_substring_regex(texts, _SAYS).to_pylist()
-    return [giveaways(t) if s else (False, False, t) for t, s in zip(texts.to_pylist(), says)]
+    """giveaways() of every text; RE2 finds the lines that say anything in two passes, over the texts and over the lines of those that do."""
+    out = [(False, False, t) for t in texts.to_pylist()]
+    hit = np.flatnonzero(pc.match_substring_regex(texts, _SAYS).to_numpy(zero_copy_only=False)) if len(texts) else []
+    if len(hit):
+        split = pc.split_pattern(texts.take(pa.array(hit)), "\n")
+        says, at = pc.match_substring_regex(split.values, _SAYS).to_pylist(), split.offsets.to_pylist()
+        for i, a, b in zip(hit.tolist(), at, at[1:]):
+            text = out[i][2]
+            tool, copy, rest = _told(text.split("\n"), says[a:b])
+            out[i] = tool, copy, text if rest is None else rest
+    return out
 
 
 def beside(structure: str | None) -> dict[str, set[str]]:
@@ -213,13 +217,13 @@ class Model:
         return x @ self.weights + self.bias - self.bar
 
 
-def fit_svm(x: np.ndarray, y: np.ndarray, use: np.ndarray, c: float = 1.0, newton: int = 7, inner: int = 12) -> tuple[np.ndarray, np.ndarray]:
+def fit_svm(x: np.ndarray, y: np.ndarray, use: np.ndarray, start: tuple[np.ndarray, np.ndarray] | None = None, c: float = 1.0, newton: int = 7, inner: int = 12) -> tuple[np.ndarray, np.ndarray]:
     """Linear support-vector classifiers (squared hinge, L2) of the rows in use, all classes at once, by
-    Newton steps with conjugate gradients. Rows out of use weigh nothing, so that x is never copied."""
+    Newton steps with conjugate gradients from `start` on. Rows out of use weigh nothing, so that x is never copied."""
     n, width = x.shape
     c = (c * use.astype(np.float32))[:, None]
     sign = np.where(y, 1.0, -1.0).astype(np.float32)
-    w, b = np.zeros((width, y.shape[1]), np.float32), np.zeros(y.shape[1], np.float32)
+    w, b = start or (np.zeros((width, y.shape[1]), np.float32), np.zeros(y.shape[1], np.float32))
     soft = np.float32(1e-3)  # the bias is hardly punished
     for _ in range(newton):
         slack = np.maximum(0.0, 1.0 - sign * (x @ w + b))
@@ -265,36 +269,44 @@ def train(files: list[tuple]) -> Model:
     giveaway proves nothing, so they teach nothing. The bar of each class is the lowest that keeps
     the precision on the other half of the repositories than the classifier was trained on; neither decision sees the
     held-out fifth."""
-    masked, given, roots, paths = [], [], [], []
-    for root, path, content, siblings in files:
-        tool, copy, rest = giveaways(content)
-        masked.append(rest)
-        given.append(labels(path, rest, tool, copy, siblings))
-        roots.append(root)
-        paths.append(path)
+    fold = np.array([_fnv(root or "") % 5 for root, *_ in files], np.int64)
+    part = np.where(fold == 0, 0, np.where(fold < 3, 1, 2))  # held out, and two halves: each lies together
+    order = np.argsort(part, kind="stable")
+    files, part = [files[i] for i in order], part[order]
+    masked, given, paths = [], [], []
+    for a in range(0, len(files), 256):
+        block = files[a : a + 256]
+        for (_, path, _, siblings), (tool, copy, rest) in zip(block, giveaways_of(pa.array([f[2] for f in block], pa.large_string()))):
+            masked.append(rest)
+            given.append(labels(path, rest, tool, copy, siblings))
+            paths.append(path)
     y = np.array(given, bool).reshape(-1, len(CLASSES))
     if not len(y) or not y.any():
         return Model(np.zeros((WIDTH, len(CLASSES)), np.float32), np.full(len(CLASSES), -1.0, np.float32), np.zeros(len(CLASSES), np.float32), [])
     x = np.empty((len(paths), WIDTH), np.float32)
     for a in range(0, len(paths), 128):
         x[a : a + 128] = features(pa.array(masked[a : a + 128], pa.large_string()), paths[a : a + 128])
-    fold = np.array([_fnv(r or "") % 5 for r in roots])
-    held = fold == 0
-    learn = ~held if held.any() and (~held).any() else np.ones(len(y), bool)
+    cut = np.searchsorted(part, [0, 1, 2, 3])
+    halves = [slice(cut[1], cut[2]), slice(cut[2], cut[3])]
+    alone = cut[1] in (0, len(part))  # nothing is held out, or all is
+    held, learn = slice(0, cut[1]), slice(0, len(part)) if alone else slice(cut[1], len(part))
     labelled = y.any(1)
     code = np.array([bool(re.search(r"\.(?:py|pyi|js|mjs|jsx|ts|tsx|go|java|rs|c|cc|cpp|h|cs|rb|php|kt|scala|sql)$", p)) for p in paths])
     unsure = ~labelled & code & (x[:, -1] > 0.6)  # lines repeat as a tool writes them, but nothing says so
     score, crossed = np.zeros(y.shape, np.float32), np.zeros(len(y), bool)  # of each half by the other half's classifiers
-    for half in (learn & (fold < 3), learn & (fold >= 3)):
-        rest = learn & ~half & ~unsure
-        if y[rest].any() and half.any():
-            w, b = fit_svm(x, y, rest)
-            score[half] = x[half] @ w + b
-            crossed |= half
+    known: list[tuple[np.ndarray, np.ndarray]] = []
+    for half, rest in (halves, halves[::-1]):
+        use = ~unsure[rest]
+        if half.stop > half.start and y[rest][use].any():
+            known.append(fit_svm(x[rest], y[rest], use))
+            score[half] = x[half] @ known[-1][0] + known[-1][1]
+            crossed[half] = True
     told = np.delete(score, CLASSES.index("vendored"), 1)  # a copy reads like any code
     unsure |= crossed & ~labelled & (told.max(1) > -0.25)
-    clean = learn & ~unsure
-    w, b = fit_svm(x, y, clean)
+    clean = np.zeros(len(y), bool)
+    clean[learn] = ~unsure[learn]
+    middle = (sum(k[0] for k in known) / len(known), sum(k[1] for k in known) / len(known)) if known else None
+    w, b = fit_svm(x[learn], y[learn], clean[learn], middle)
     # A class whose giveaways say more than the texts do needs a higher bar.
     bar = np.zeros(len(CLASSES), np.float32)
     for k in range(len(CLASSES)):
@@ -305,11 +317,11 @@ def train(files: list[tuple]) -> Model:
             fine = [t for t, e in zip(bars, exact) if e >= _PRECISION]
             bar[k] = fine[0] if fine else bars[int(np.argmax(exact))]
     report = []
-    score = (x @ w + b - bar)[held]
+    score = x[held] @ w + b - bar
     for k, name in enumerate(CLASSES):
         said, true = score[:, k] > 0, y[held][:, k]
         hit = int((said & true).sum())
-        report.append((name, int(clean.sum()), int(y[clean][:, k].sum()), int(held.sum()), int(true.sum()), hit / max(int(said.sum()), 1), hit / max(int(true.sum()), 1)))
+        report.append((name, int(clean.sum()), int(y[clean][:, k].sum()), len(score), int(true.sum()), hit / max(int(said.sum()), 1), hit / max(int(true.sum()), 1)))
     return Model(w, b, bar, report)
 
 
