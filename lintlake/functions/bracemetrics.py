@@ -17,8 +17,8 @@ _SCRIPT_HEADERS = (
 _JAVA_HEADER = r"(?:(?:public|private|protected|static|final|abstract|synchronized|native|default)\s+)*(?:<[^>]+>\s+)?(?:\w+(?:\[\])?(?:<[^>]+>)?)\s+(\w+)\s*\(([^)]*)\)\s*(?:throws\s+[\w\s,]+?)?\s*\{"
 _GO_HEADER = r"func\s+(?:\(\s*\w+\s+\*?\w+(?:\.\w+)?\s*\)\s+)?(\w+)\s*\(([^)]*)\)"
 _RUST_HEADER = r"(?:pub(?:\([\w:]+\))?\s+)?(?:async\s+)?fn\s+(\w+)\s*(?:<[^>]*>)?\s*\(([^)]*)\)"
-_SCRIPT_SKIP = frozenset("if for while switch catch return import from class new throw else".split())
-_JAVA_SKIP = frozenset("if for while switch catch class new return throw import package".split())
+_SCRIPT_SKIP = frozenset({"if", "for", "while", "switch", "catch", "return", "import", "from", "class", "new", "throw", "else"})
+_JAVA_SKIP = frozenset({"if", "for", "while", "switch", "catch", "class", "new", "return", "throw", "import", "package"})
 _DECISIONS = (r"\bif\b", r"\belse\s+if\b", r"\bfor\b", r"\bwhile\b", r"\bcase\b", r"\bcatch\b", r"\?\?", r"\?[^?]", r"&&", r"\|\|")
 _MORE_DECISIONS = {"go": (r"\bselect\b", r"\bdefer\b.*\bfunc\b"), "rust": (r"\bmatch\b", r"\bif\s+let\b", r"\bwhile\s+let\b", r"\bloop\b"), "java": (r"\binstanceof\b",)}
 _WORDS = ("if", "for", "while", "switch", "catch")
@@ -32,18 +32,19 @@ class Grammar:
     skip: frozenset[str] = frozenset()
     once_a_line: bool = False
     receiver: frozenset[str] = frozenset()
-
-    @property
-    def decisions(self) -> tuple[re.Pattern, ...]:
-        return tuple(re.compile(p) for p in _DECISIONS + _MORE_DECISIONS.get(self.name, ()))
+    decisions: tuple[re.Pattern, ...] = ()
+    words: re.Pattern = re.compile("")
 
 
 def _grammar(name: str, headers: tuple[str, ...], **more) -> Grammar:
-    return Grammar(name, tuple(re.compile(h, re.MULTILINE) for h in headers), **more)
+    counted = tuple(re.compile(p) for p in _DECISIONS + _MORE_DECISIONS.get(name, ()))
+    words = re.compile(r"\b(?:" + "|".join(_WORDS + _MORE_WORDS.get(name, ())) + r")\b")
+    return Grammar(name, tuple(re.compile(h, re.MULTILINE) for h in headers), decisions=counted, words=words, **more)
 
 
 _SCRIPT = _grammar("javascript", _SCRIPT_HEADERS, skip=_SCRIPT_SKIP, once_a_line=True)
 GRAMMARS = {"javascript": _SCRIPT, "typescript": _SCRIPT, "java": _grammar("java", (_JAVA_HEADER,), skip=_JAVA_SKIP), "go": _grammar("go", (_GO_HEADER,)), "rust": _grammar("rust", (_RUST_HEADER,), receiver=frozenset({"self", "&self", "&mut self"}))}
+_BRACE = re.compile(r"[{}]")
 _MARKS = re.compile(r"[{}\"'`]")
 
 
@@ -88,14 +89,14 @@ def nesting(body: str) -> int:
 
 def cognitive(body: str, language: str) -> int:
     """Words weigh 1 and the depth before their line's braces; && and || weigh 1."""
-    words = re.compile(r"\b(?:" + "|".join(_WORDS + _MORE_WORDS.get(language, ())) + r")\b")
+    words = GRAMMARS[language].words
     total = depth = 0
     for line in map(str.strip, body.splitlines()):
         if not line or line.startswith(("//", "/*")):
             continue
         total += len(words.findall(line)) * (1 + depth) + line.count("&&") + line.count("||")
-        for sign in line:
-            depth = depth + 1 if sign == "{" else max(0, depth - 1) if sign == "}" else depth
+        for sign in _BRACE.findall(line):
+            depth = depth + 1 if sign == "{" else max(0, depth - 1)
     return total
 
 

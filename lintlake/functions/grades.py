@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
 # Order of severities, weights and bounds.
 SEVERITIES = ("critical", "high", "medium", "low", "info")
@@ -59,10 +57,17 @@ def developer_score(reviews: Column, fixes: Column, security: Column, violations
     return reviews * 10 + fixes * 5 - security * 8 - violations * 3 - F.greatest(F.lit(0.0), average - 10) * 4
 
 
-@F.pandas_udf(DoubleType())
-def half_even_1(values: pd.Series) -> pd.Series:
-    """Rounding to one decimal by the exact binary value, ties to even; for the few rows of a leaderboard."""
-    return values.map(lambda v: None if v is None or v != v else round(v, 1))
+def half_even_1(value: Column) -> Column:
+    """Rounding to one decimal by the exact binary value, ties to even.
+
+    Ten times the value is 8 v + 2 v, both exact; s is their rounded sum and what was lost is known exactly, so the
+    distance of ten times the value from the middle between two whole numbers has a sure sign."""
+    s = value * 8 + value * 2
+    lost = value * 2 - (s - value * 8)
+    below = F.floor(s).cast("double")
+    over = s - below - 0.5
+    up = F.when(over + lost > 0, 1.0).when(over + lost < 0, 0.0).otherwise(F.pmod(below, F.lit(2.0)))
+    return F.when(F.isnan(value) | value.isNull() | (F.abs(value) >= 1e15), value).otherwise((below + up) / 10)
 
 
 def cvss_severity(score: Column) -> Column:

@@ -6,7 +6,7 @@ import re
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -82,6 +82,11 @@ def in_scope(path: Column, rule: Rule) -> Column:
     return inside & ~path.rlike("|".join(f"(?:{java(p)})" for p in rule.exclude)) if rule.exclude else inside
 
 
+def any_of(rules: Sequence[Rule]) -> str:
+    """One expression that is found where any of the rules' is; what it is not found in need not be read again."""
+    return "(?U)" + "|".join(f"(?:{r.pattern})" for r in rules)
+
+
 def hits(line: Column, rules: Sequence[Rule]) -> Column:
     """array<struct<rule_id, severity>> of the rules found in a line, in their order: a projection, no join."""
     found = F.array(*[F.when(line.rlike(java(r.pattern)), F.struct(F.lit(r.id).alias("rule_id"), F.lit(r.severity).alias("severity"))) for r in rules])
@@ -146,3 +151,30 @@ def compiles(pattern: str, spark: SparkSession | None = None) -> bool:
 def usable(rules: Sequence[Rule], spark: SparkSession) -> list[Rule]:
     """The rules whose patterns compile; the others are skipped, as validate() reports."""
     return [r for r in rules if r.type != "pattern" or (r.pattern and compiles(r.pattern, spark))]
+
+
+# What a finding of a rule means and what to do about it, by the rule.
+ADVICE = {
+    "SEC": ("A secret stands in the text and is known to all who can read it.", "Revoke it, and read its successor from the environment or a vault."),
+    "FIL": ("A file of this name usually holds secrets.", "Take it out of the repository and list it in the ignore file."),
+    "VLN001": ("Input may become part of a database command.", "Bind parameters."),
+    "VLN002": ("Input may become part of a system command.", "Pass a list of arguments without a shell."),
+    "VLN003": ("Loading untrusted data this way can run code.", "Use a safe loader or another format."),
+    "VLN004": ("Text is run as code.", "Parse literals, or call functions by name from a table."),
+    "VLN005": ("The certificate of the other side is not checked.", "Leave the check on, with an own authority if need be."),
+    "VLN006": ("The digest is broken.", "Use SHA-256 or later."),
+    "VLN007": ("An address is fixed in the text.", "Take host and port from the configuration."),
+    "VLN008": ("Debug mode shows inner state to users.", "Take it from the environment, off by default."),
+    "VLN009": ("Every origin may read the answers.", "Name the origins that may."),
+    "VLN010": ("The random source can be foreseen.", "Use a source made for secrets."),
+    "VLN011": ("Markup is put into the page unchecked.", "Set text, or clean the markup."),
+    "VLN012": ("Keys from input may change every object.", "Check keys, or use objects without a prototype."),
+}
+
+
+def described(findings: DataFrame) -> DataFrame:
+    """Findings with title, description and suggestion of their rule (null for other rules), from map literals of fixed size."""
+    known = (*SECRET_RULES, *VULNERABILITY_RULES, *FILE_RULES)
+    text = lambda k: F.create_map(*[F.lit(x) for r in known for x in (r.id, (r.title, *ADVICE.get(r.id, ADVICE.get(r.id[:3], ("", ""))))[k])])
+    rule = F.col("rule_id")
+    return findings.withColumns({name: F.try_element_at(text(k), rule) for k, name in enumerate(("title", "description", "suggestion"))})

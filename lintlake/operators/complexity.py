@@ -28,8 +28,8 @@ def _per_file(files: DataFrame, keys: Sequence[str], fields: list[T.StructField]
         for batch in batches:
             n = len(keys)
             owner, ordinal, out = [], [], [[] for _ in fields]
-            for i, (path, content) in enumerate(zip(batch.column(n).to_pylist(), batch.column(n + 1).to_pylist())):
-                for k, row in enumerate(rows(path, content)):
+            for i in range(batch.num_rows):  # one text at a time becomes a Python string
+                for k, row in enumerate(rows(batch.column(n)[i].as_py(), batch.column(n + 1)[i].as_py())):
                     owner.append(i)
                     ordinal.append(k)
                     for column, v in zip(out, row):
@@ -87,10 +87,12 @@ def line_counts(files: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     return told.select(*keys, "file", "language", F.size("all").alias("total_lines"), F.size(code).alias("code_lines"))
 
 
-def file_complexity(heads: DataFrame, functions: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """For every head (a file) its functions' count, average and greatest cyclomatic complexity; 0 without functions."""
+def file_complexity(heads: DataFrame | None, functions: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """For every head (a file) its functions' count, average and greatest cyclomatic complexity; 0 without functions.
+    Without heads those files come out that have functions, from one aggregation."""
     per = functions.groupBy(*keys).agg(F.count(F.lit(1)).alias("functions"), F.avg("cyclomatic").alias("avg_cyclomatic"), F.max("cyclomatic").alias("max_cyclomatic"))
-    return heads.join(per, list(keys), "left").fillna(0, ["functions", "max_cyclomatic"]).fillna(0.0, ["avg_cyclomatic"])
+    told = per if heads is None else heads.join(per, list(keys), "left")
+    return told.fillna(0, ["functions", "max_cyclomatic"]).fillna(0.0, ["avg_cyclomatic"])
 
 
 def report(functions: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lintlake.functions.grades import cvss_severity
+from lintlake.functions.grades import cvss_severity, severity_rank
 from lintlake.functions.text import basename, lines, strip
 
 MANIFESTS = ("requirements.txt", "package.json", "go.mod")
@@ -82,3 +82,8 @@ def vulnerable(deps: DataFrame, advisories: DataFrame) -> DataFrame:
     An equi-join on name and ecosystem; a version of * is always affected, as is one of an advisory without a fix."""
     joined = deps.join(advisories, ["name", "ecosystem"])
     return joined.where((F.col("version") == "*") | (F.col("fixed_in") == "") | ~version_at_least(F.col("version"), F.col("fixed_in")))
+
+
+def by_severity(vulnerabilities: DataFrame) -> DataFrame:
+    """Vulnerable dependencies in order of severity, unknown ones last."""
+    return vulnerabilities.orderBy(severity_rank(F.col("severity")), "name", "advisory")

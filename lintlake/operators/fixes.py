@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lintlake.functions.grades import severity_rank
+from lintlake.functions.rules import SECRET_RULES, VULNERABILITY_RULES, any_of, hits, ignored
 from lintlake.functions.text import lines
+from lintlake.operators.scan import MAX_BYTES
 
 # Which rules have a fix. The identifiers SEC005, SEC007, SEC010, VLN007 and VLN010 mean other
 # rules here than in the scanner's catalogue (fixed values; `drifted` marks them).
@@ -59,3 +61,22 @@ def contexts(findings: DataFrame, files: DataFrame, keys: Sequence[str], window:
 def at_cursor(findings: DataFrame, line: Column) -> DataFrame:
     """Findings whose lines contain a place (0-based, as editors count)."""
     return findings.where(line.between(F.greatest(F.col("line") - 1, F.lit(0)), F.greatest(F.coalesce(F.col("end_line"), F.col("line")) - 1, F.lit(0)) if "end_line" in findings.columns else F.greatest(F.col("line") - 1, F.lit(0))))
+
+
+def blocking(findings: DataFrame, fail_on: str, *order: str, most: int = 10) -> DataFrame:
+    """The first findings at or above a severity; an unknown threshold means high, an unknown severity counts as info."""
+    ranks = {"critical": 4, "high": 3, "medium": 2, "low": 1, "info": 0}  # fixed values
+    rank = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in ranks.items() for x in pair]), F.lower("severity")), F.lit(0))
+    return findings.where(rank >= ranks.get(fail_on, 3)).orderBy(*order).limit(most)
+
+
+def found_in_context(files: DataFrame, keys: Sequence[str], window: int = 5) -> DataFrame:
+    """Findings by line of (keys, file, content), each with the lines around it, cut out of the lines of the scanned row:
+    contents are neither joined nor shuffled."""
+    rules = (*SECRET_RULES, *VULNERABILITY_RULES)
+    kept = files.where(~ignored(F.col("file")) & (F.octet_length("content") <= MAX_BYTES) & F.col("content").rlike(any_of(rules)))
+    told = kept.select(*keys, "file", lines(F.col("content")).alias("all"))
+    around = lambda i: F.transform(F.sequence(F.greatest(F.lit(1), i + 1 - window), F.least(F.size("all"), i + 1 + window)), lambda n: F.concat(F.when(n == i + 1, ">>> ").otherwise("    "), F.format_string("%4d", n), F.lit(" | "), F.get("all", n - 1)))
+    hit = F.filter(F.transform("all", lambda x, i: F.when(x.rlike(any_of(rules)), F.struct((i + 1).alias("line"), x.alias("text"), F.array_join(around(i), "\n").alias("context")))), lambda x: x.isNotNull())
+    rows = told.select(*keys, "file", F.explode(hit).alias("h")).select(*keys, "file", "h.line", "h.text", "h.context")
+    return rows.select(*keys, "file", "line", "context", F.explode(hits(F.col("text"), rules)).alias("r")).select(*keys, "file", "line", "r.rule_id", "r.severity", "context")

@@ -68,10 +68,3 @@ def python_additions(added: DataFrame, keys: Sequence[str]) -> DataFrame:
     kept = added.where(suffix(F.col("file")) == ".py")
     rows = kept.groupBy(*keys, "file").agg(F.array_sort(F.collect_list(F.struct("line", "text"))).alias("rows"))
     return rows.select(*keys, "file", F.array_join(F.transform("rows", lambda r: r["text"]), "\n").alias("content"))
-
-
-def prompt(prs: DataFrame, *, patch_lines: int = 80, most: int = 30_000, body: int = 2_000) -> DataFrame:
-    """A review prompt for each pull request: header, body and the first lines of every patch, cut to a size."""
-    part = F.transform("files", lambda f: F.concat_ws("\n", F.concat(F.lit("### "), f["filename"]), F.array_join(F.slice(F.split(F.coalesce(f["patch"], F.lit("")), "\n"), 1, patch_lines), "\n")))
-    text = F.concat_ws("\n\n", F.concat_ws(" ", F.lit("#"), F.coalesce("title", F.lit(""))), F.left(F.coalesce("body", F.lit("")), F.lit(body)), F.array_join(part, "\n\n"))
-    return prs.select("pr_id", F.left(text, F.lit(most)).alias("prompt"))

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lintlake.functions.grades import developer_score, half_even_1
+from lintlake.sources.tables import materialize
 
 
 def once(entries: DataFrame, key: str = "seq") -> DataFrame:
@@ -30,22 +31,25 @@ def author_totals(entries: DataFrame) -> DataFrame:
     )
 
 
-def leaderboard(entries: DataFrame, *, exact_rounding: bool = True) -> DataFrame:
-    """Authors by composite score, ties in order of first appearance. The score uses the rounded average.
-
-    exact_rounding rounds as the binary values say (for the few rows of a board); without it nothing is rounded."""
-    totals = author_totals(entries)
-    average = half_even_1(F.col("avg_complexity")) if exact_rounding else F.col("avg_complexity")
-    scored = totals.withColumn("avg_complexity", average).withColumn("score", developer_score(F.col("reviews"), F.col("fix_count"), F.col("security_issues"), F.col("rule_violations"), F.col("avg_complexity")))
-    return scored.withColumn("score", half_even_1(F.col("score"))) if exact_rounding else scored
+def leaderboard(entries: DataFrame) -> DataFrame:
+    """Authors by composite score, ties in order of first appearance. Average and score are rounded to one decimal by
+    their exact binary values; the score uses the rounded average."""
+    totals = author_totals(entries).withColumn("avg_complexity", half_even_1(F.col("avg_complexity")))
+    score = developer_score(F.col("reviews"), F.col("fix_count"), F.col("security_issues"), F.col("rule_violations"), F.col("avg_complexity"))
+    return totals.withColumn("score", half_even_1(score))
 
 
 def ranked(board: DataFrame, top: int | None = None) -> DataFrame:
     """Places on a board. A limited board is cut by a distributed top-k first, so the one-task window sees few rows;
-    a whole board is one row for each author."""
+    a whole board is sorted in ranges, which are numbered on their own and moved on by the sizes of those before."""
+    order = [F.desc("score"), F.asc("first_seq")]
     if top is not None:
-        board = board.orderBy(F.desc("score"), "first_seq").limit(top)
-    return board.withColumn("place", F.row_number().over(W.orderBy(F.desc("score"), "first_seq")))
+        return board.orderBy(*order).limit(top).withColumn("place", F.row_number().over(W.orderBy(*order)))
+    parts = materialize(board.repartitionByRange(*order).withColumn("part_", F.spark_partition_id()), "board")
+    sizes = parts.groupBy("part_").agg(F.count(F.lit(1)).alias("n_"))  # one row for each range
+    before = sizes.select("part_", F.coalesce(F.sum("n_").over(W.orderBy("part_").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before_"))
+    own = F.row_number().over(W.partitionBy("part_").orderBy(*order))
+    return parts.withColumn("own_", own).join(before, "part_").withColumn("place", (F.col("own_") + F.col("before_")).cast("int")).drop("part_", "own_", "before_")
 
 
 def trend(entries: DataFrame, metric: str, author: str | None = None) -> DataFrame:

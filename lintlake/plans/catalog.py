@@ -11,10 +11,11 @@ from lintlake.functions.rules import AST_RULES, DEFAULT_IGNORE, FILE_RULES, SECR
 from lintlake.functions.text import basename, human_size, shortened, suffix, token_estimate
 from lintlake.operators import cachetable, complexity, deps, docs, fixes, review, scan, scoreboard
 from lintlake.operators.topn import clean_path, top_n_per_group
-from lintlake.plans.editor import diagnostics, guide, verdict
+from lintlake.plans.editor import ENTRY_POINTS, analysed, diagnostics, guide, score_colour, verdict_mark
+from lintlake.plans.prompts import review_prompt
 from lintlake.plans.report import function_rows, json_rows
-from lintlake.sources.tables import table
-from lintlake.sources.tree import snapshot_sources, tree_text
+from lintlake.sources.tables import first_sent, table
+from lintlake.sources.tree import IGNORED_FOLDERS, LANGUAGES, TEXT_SUFFIXES, language_counts, snapshot_sources, tree_text
 from lintlake.streaming.streams import debounced, latest_per_key, rate_windows, unexpired
 
 QUERIES: dict = {}
@@ -65,7 +66,8 @@ def sent_patches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "fn_metrics").drop("received_at", "scanned_at").distinct()
+    """Function metrics; a re-sent row is there twice: queries drop repeats by fn_id from what they keep."""
+    rows = table(spark, sf_dir, "fn_metrics").drop("received_at", "scanned_at")
     return rows.withColumn("file", clean_path(F.col("file")))
 
 
@@ -110,23 +112,24 @@ _TOTALS = f"""WITH {_ENTRIES}, t AS (
     coalesce(avg(CASE WHEN NOT isnan(metrics['complexity_avg']) THEN metrics['complexity_avg'] END), 0.0) AS avg_complexity,
     coalesce(sum(CASE WHEN NOT isnan(metrics['security_issues']) THEN metrics['security_issues'] END), 0.0) AS security_issues, coalesce(sum(CASE WHEN NOT isnan(metrics['rule_violations']) THEN metrics['rule_violations'] END), 0.0) AS rule_violations,
     coalesce(sum(CASE WHEN NOT isnan(metrics['fix_count']) THEN metrics['fix_count'] END), 0.0) AS fix_count, count(*) AS entries, min(seq) AS first_seq FROM e GROUP BY author),
-b AS (SELECT *, reviews * 10 + fix_count * 5 - security_issues * 8 - rule_violations * 3 - greatest(0.0, avg_complexity - 10) * 4 AS score FROM t) """
+r AS (SELECT * REPLACE (CAST(printf('%.1f', avg_complexity) AS DOUBLE) AS avg_complexity) FROM t),
+b AS (SELECT *, CAST(printf('%.1f', reviews * 10 + fix_count * 5 - security_issues * 8 - rule_violations * 3 - greatest(0.0, avg_complexity - 10) * 4) AS DOUBLE) AS score FROM r) """
 
 
 @query(_TOTALS + "SELECT * FROM b")
 def leaderboard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scoreboard.leaderboard(entries(spark, sf_dir), exact_rounding=False)
+    return scoreboard.leaderboard(entries(spark, sf_dir))
 
 
-@query()
+@query(_TOTALS + "SELECT *, CAST(row_number() OVER (ORDER BY score DESC, first_seq) AS INTEGER) AS place FROM b")
 def leaderboard_rounded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The board with one decimal, rounded by the exact binary values."""
+    """The whole board with places."""
     return scoreboard.ranked(scoreboard.leaderboard(entries(spark, sf_dir)))
 
 
 @query(_TOTALS + "SELECT * FROM (SELECT *, CAST(row_number() OVER (ORDER BY score DESC, first_seq) AS INTEGER) AS place FROM b) WHERE place <= 3")
 def podium_top3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scoreboard.ranked(scoreboard.leaderboard(entries(spark, sf_dir), exact_rounding=False), 3)
+    return scoreboard.ranked(scoreboard.leaderboard(entries(spark, sf_dir)), 3)
 
 
 @query(f"WITH {_ENTRIES} SELECT author, count(*) AS entries FROM e GROUP BY author")
@@ -222,19 +225,48 @@ def fixes_of_first20(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fixes.suggested(findings(spark, sf_dir), 20, "finding_id").select("finding_id", "diff")
 
 
-@query()
+@query(f"WITH {_FINDINGS} SELECT CAST(to_json({{'finding_id': finding_id, 'pr_id': pr_id, 'rule_id': rule_id, 'severity': severity, 'file': file, 'line': line, 'match': match}}) AS VARCHAR) AS json FROM f")
 def findings_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return json_rows(findings(spark, sf_dir))
+    return json_rows(findings(spark, sf_dir).select("finding_id", "pr_id", "rule_id", "severity", "file", "line", "match"))
 
 
-@query(f"WITH {_FINDINGS} SELECT finding_id, CAST(greatest(coalesce(line, 1) - 1, 0) AS INTEGER) AS line, CASE WHEN {_rank_sql()} <= 1 THEN 1 WHEN {_rank_sql()} = 2 THEN 2 WHEN {_rank_sql()} = 3 THEN 3 ELSE 4 END AS level, 'lintlake/security/' || coalesce(rule_id, '?') AS code FROM f")
+@query(
+    """WITH f AS (SELECT DISTINCT ON (finding_id) * FROM finding), l AS (SELECT *, CAST(greatest(coalesce(line, 1) - 1, 0) AS INTEGER) AS place, coalesce(description, 'Issue detected') AS message, coalesce(rule_id, 'security-issue') AS rule FROM f)
+    SELECT finding_id, place AS line, place AS end_line, 0 AS first_column, 1 AS end_column, CASE lower(coalesce(severity, 'medium')) WHEN 'critical' THEN 1 WHEN 'high' THEN 2 WHEN 'low' THEN 4 WHEN 'info' THEN 4 ELSE 3 END AS level, 'lintlake/security/' || rule AS code, message,
+      concat_ws(',', CASE WHEN contains(lower(message), 'deprecated') OR contains(lower(rule), 'deprecated') THEN 'deprecated' END, CASE WHEN contains(lower(message), 'unused') OR contains(lower(rule), 'unused') THEN 'unnecessary' END) AS tags FROM l"""
+)
 def editor_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return diagnostics(findings(spark, sf_dir), "security").select("finding_id", "line", "level", "code")
+    rows = scoreboard.once(table(spark, sf_dir, "finding").select("finding_id", "rule_id", "severity", "file", "line", F.col("description").alias("message")), "finding_id")
+    return diagnostics(rows, "security").select("finding_id", "line", "end_line", "first_column", "end_column", "level", "code", "message", F.concat_ws(",", "tags").alias("tags"))
+
+
+URIS = ("file:///a/b.py", "file:///a/b.PY", "http://x/b.py", "/a/b.py", "file:///a/b.rb", "file:///a/b.md", "file:///a.tsx/b")
+
+
+@query("SELECT * FROM (VALUES ('file:///a/b.py', true), ('file:///a/b.PY', false), ('http://x/b.py', false), ('/a/b.py', false), ('file:///a/b.rb', true), ('file:///a/b.md', false), ('file:///a.tsx/b', false)) t(uri, analysed)")
+def analysed_uris(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which addresses an editor's server analyses."""
+    return spark.createDataFrame([(u,) for u in URIS], "uri string").withColumn("analysed", analysed(F.col("uri")))
 
 
-@query("WITH s AS (SELECT unnest(generate_series(0, 100)) AS score) SELECT CAST(score AS INTEGER) AS score, CASE WHEN score >= 90 THEN 'good' WHEN score >= 70 THEN 'minor issues' WHEN score >= 50 THEN 'needs work' ELSE 'blocked' END AS verdict FROM s")
+@query(f"WITH {_FINDINGS} SELECT finding_id, CASE WHEN length(match) > 60 THEN left(match, 60) ELSE match END AS shown FROM f WHERE lower(severity) IN ('critical', 'high') ORDER BY finding_id LIMIT 10")
+def hook_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first ten findings that block a commit at `high`."""
+    return fixes.blocking(findings(spark, sf_dir), "high", "finding_id").select("finding_id", F.left("match", F.lit(60)).alias("shown"))
+
+
+VERDICTS = ("Ready to merge", "MERGE after a rebase", "Needs changes", "needs discussion first", "Not sure", "")
+
+
+@query("SELECT * FROM (VALUES ('Ready to merge', 'pass'), ('MERGE after a rebase', 'pass'), ('Needs changes', 'warn'), ('needs discussion first', 'warn'), ('Not sure', 'other'), ('', 'other')) t(verdict, mark)")
 def verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.range(101).select(F.col("id").cast("int").alias("score")).withColumn("verdict", verdict(F.col("score")))
+    """The mark of a review's verdict, by what it says."""
+    return spark.createDataFrame([(v,) for v in VERDICTS], "verdict string").withColumn("mark", verdict_mark(F.col("verdict")))
+
+
+@query("WITH s AS (SELECT unnest(generate_series(0, 100)) AS score) SELECT CAST(score AS INTEGER) AS score, CASE WHEN score >= 90 THEN 'green' WHEN score >= 60 THEN 'yellow' ELSE 'red' END AS colour FROM s")
+def score_colours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.range(101).select(F.col("id").cast("int").alias("score")).withColumn("colour", score_colour(F.col("score")))
 
 
 # ---------------------------------------------------------------- scanning
@@ -332,17 +364,20 @@ def ast_rule_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_scan_sql((*SECRET_RULES, *VULNERABILITY_RULES)).replace("WITH ", "WITH all_rows AS (WITH ", 1) + ") SELECT snapshot_id, CASE WHEN starts_with(rule_id, 'SEC') THEN 'secret' ELSE 'vulnerability' END AS category, count(*) AS findings FROM all_rows GROUP BY ALL")
 def findings_union_by_category(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Findings of both analyzers as one table, counted by category."""
-    secrets = _scanned(spark, sf_dir, SECRET_RULES).withColumn("category", F.lit("secret"))
-    vulnerable = _scanned(spark, sf_dir, VULNERABILITY_RULES).withColumn("category", F.lit("vulnerability"))
-    return secrets.unionByName(vulnerable, allowMissingColumns=True).groupBy("snapshot_id", "category").agg(F.count(F.lit(1)).alias("findings"))
+    found = _scanned(spark, sf_dir, (*SECRET_RULES, *VULNERABILITY_RULES))
+    category = F.when(F.startswith("rule_id", F.lit("SEC")), "secret").otherwise("vulnerability")
+    return found.groupBy("snapshot_id", category.alias("category")).agg(F.count(F.lit(1)).alias("findings"))
 
 
-@query()
+@query(
+    _scan_sql((*SECRET_RULES, *VULNERABILITY_RULES)).replace("WITH ", "WITH hits AS (WITH ", 1)
+    + f"), {_FILES}, l AS (SELECT snapshot_id, file, {_lines_sql('content')} AS all_lines FROM files) SELECT hits.snapshot_id, hits.file, line, rule_id, array_to_string(list_transform(generate_series(greatest(1, line - 5), least(len(all_lines), line + 5)), lambda n: (CASE WHEN n = line THEN '>>> ' ELSE '    ' END) || printf('%4d', n) || ' | ' || all_lines[n]), chr(10)) AS context FROM hits JOIN l USING (snapshot_id, file)"
+)
 def finding_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Five lines around each finding in a file."""
-    files = repo_files(spark, sf_dir)
-    found = scan.scan_files(files, ["snapshot_id"])
-    return fixes.contexts(found.distinct(), files, ["snapshot_id", "file"]).distinct()
+    """Five lines around each finding in a file, cut out in the scan itself: no content is joined or shuffled."""
+    once = first_sent(table(spark, sf_dir, "repo_snapshot").select("snapshot_id", "received_at", "file_contents"), "snapshot_id", "received_at")
+    files = once.select("snapshot_id", F.explode("file_contents").alias("file", "content")).where("content is not null")
+    return fixes.found_in_context(files, ["snapshot_id"]).select("snapshot_id", "file", "line", "rule_id", "context")
 
 
 # ---------------------------------------------------------------- complexity
@@ -356,13 +391,13 @@ def _rated(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_METRICS} SELECT fn_id, {_RISK} AS risk FROM m")
 def fn_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rated(spark, sf_dir).select("fn_id", "risk")
+    return _rated(spark, sf_dir).select("fn_id", "risk").distinct()
 
 
 @query(f"WITH {_METRICS} SELECT file, count(*) AS functions, coalesce(avg(cyclomatic), 0.0) AS avg_cyclomatic, coalesce(max(cyclomatic), 0) AS max_cyclomatic FROM m WHERE file IS NOT NULL GROUP BY file")
 def file_complexity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = metrics(spark, sf_dir).where("file is not null")
-    return complexity.file_complexity(rows.select("file").distinct(), rows, ["file"])
+    rows = metrics(spark, sf_dir).where("file is not null").select("fn_id", "file", "cyclomatic").distinct()
+    return complexity.file_complexity(None, rows, ["file"])
 
 
 @query(
@@ -372,7 +407,7 @@ def file_complexity(spark: SparkSession, sf_dir: str) -> DataFrame:
       CASE WHEN avg_cyclomatic <= 5 AND high_risk = 0 THEN 'A' WHEN avg_cyclomatic <= 10 AND high_risk <= 2 THEN 'B' WHEN avg_cyclomatic <= 20 AND high_risk <= 5 THEN 'C' WHEN avg_cyclomatic <= 25 THEN 'D' ELSE 'F' END AS grade FROM a"""
 )
 def report_grade(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _rated(spark, sf_dir).where("file is not null").withColumn("root", F.substring_index("file", "/", 1))
+    rows = _rated(spark, sf_dir).where("file is not null").select("fn_id", F.substring_index("file", "/", 1).alias("root"), "cyclomatic", "risk").distinct()
     return complexity.report(rows, ["root"])
 
 
@@ -381,18 +416,19 @@ LIMITS = (Rule("THR001", "high", type="threshold", metric="cyclomatic", max_valu
 
 @query(rf"WITH {_METRICS} SELECT fn_id, 'THR001' AS rule_id, cyclomatic AS value FROM m WHERE cyclomatic > 20 AND file IS NOT NULL UNION ALL SELECT fn_id, 'THR002', length FROM m WHERE length > 80 AND regexp_matches(file, '\.py$') UNION ALL SELECT fn_id, 'THR004', params FROM m WHERE params > 4 AND NOT regexp_matches(file, '/tests?/')")
 def threshold_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return complexity.threshold_violations(metrics(spark, sf_dir).where("file is not null"), LIMITS).select("fn_id", "rule_id", "value")
+    return complexity.threshold_violations(metrics(spark, sf_dir).where("file is not null"), LIMITS).select("fn_id", "rule_id", "value").distinct()
 
 
 @query(f"WITH {_METRICS} SELECT fn_id, cyclomatic FROM m WHERE cyclomatic >= 10 ORDER BY cyclomatic DESC, fn_id LIMIT 20")
 def most_complex(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics(spark, sf_dir).where("cyclomatic >= 10").orderBy(F.desc("cyclomatic"), "fn_id").limit(20).select("fn_id", "cyclomatic")
+    return metrics(spark, sf_dir).where("cyclomatic >= 10").select("fn_id", "cyclomatic").distinct().orderBy(F.desc("cyclomatic"), "fn_id").limit(20)
 
 
 @query(f"WITH {_METRICS}, r AS (SELECT fn_id, name, file, line, cyclomatic, {_RISK} AS risk FROM m) SELECT fn_id, risk FROM r WHERE risk = 'high' UNION ALL (SELECT fn_id, risk FROM r WHERE risk = 'medium' ORDER BY cyclomatic DESC NULLS LAST, file NULLS FIRST, line NULLS FIRST, encode(name) NULLS FIRST LIMIT 15)")
 def report_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All functions of high risk and the first 15 of medium risk."""
-    return function_rows(_rated(spark, sf_dir)).select("fn_id", "risk")
+    rows = _rated(spark, sf_dir).where("risk != 'low'").select("fn_id", "name", "file", "line", "cyclomatic", "risk").distinct()
+    return function_rows(rows).select("fn_id", "risk")
 
 
 @query()
@@ -415,9 +451,17 @@ def line_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return complexity.line_counts(repo_files(spark, sf_dir), ["snapshot_id"]).select("snapshot_id", "file", F.col("total_lines").cast("long").alias("total_lines"), F.col("code_lines").cast("long").alias("code_lines")).distinct()
 
 
-@query(rf"WITH {_FILES}, l AS (SELECT snapshot_id, CASE lower(regexp_extract(file, '[^/](\.[^./]+)$', 1)) WHEN '.py' THEN 'python' " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in __import__("lintlake.functions.bracemetrics", fromlist=["x"]).EXTENSIONS.items()) + " END AS language FROM files) SELECT snapshot_id, language, count(*) AS files FROM l WHERE language IS NOT NULL GROUP BY ALL")
+@query(
+    rf"WITH {_FILES}, l AS (SELECT snapshot_id, CASE regexp_extract(regexp_extract(file, '[^/]*$'), '^.+(\.[^.]+)$', 1) "
+    + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in LANGUAGES.items())
+    + " END AS language FROM files WHERE NOT list_has_any(string_split(file, '/'), ["
+    + ", ".join(f"'{x}'" for x in IGNORED_FOLDERS)
+    + "])), c AS (SELECT snapshot_id, language, count(*) AS files FROM l WHERE language IS NOT NULL GROUP BY ALL) SELECT *, CAST(row_number() OVER (PARTITION BY snapshot_id ORDER BY files DESC, language) AS INTEGER) AS place FROM c"
+)
 def language_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repo_files(spark, sf_dir).select("snapshot_id", "file").distinct().withColumn("language", complexity.language_of(F.col("file"))).where("language is not null").groupBy("snapshot_id", "language").agg(F.count(F.lit(1)).alias("files"))
+    """Languages of each snapshot by number of files."""
+    files = repo_files(spark, sf_dir).select("snapshot_id", "file").distinct()
+    return language_counts(files, ["snapshot_id"])
 
 
 @query()
@@ -426,14 +470,25 @@ def snapshot_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tree_text(repo_files(spark, sf_dir).select("snapshot_id", "file"), ["snapshot_id"])
 
 
-@query(f"WITH {_FILES} SELECT snapshot_id, count(DISTINCT file) AS files, len(list_distinct(list(CASE WHEN regexp_extract(file, '[^/]*$') IN ('main.py', 'app.py', 'index.js', 'index.ts', 'main.go', 'main.rs', 'Main.java', 'manage.py', 'cli.py', 'server.js') THEN file END))) AS entry_points FROM files GROUP BY snapshot_id")
+@query(
+    f"""WITH s AS (SELECT DISTINCT ON (snapshot_id) * FROM repo_snapshot), k AS (SELECT snapshot_id, coalesce(map_keys(dependency_files), []) AS deps, coalesce(map_keys(file_contents), []) AS files, languages FROM s)
+    SELECT snapshot_id, coalesce(nullif(array_to_string(list_sort(list_filter(files, lambda x: x IN ({", ".join(f"'{x}'" for x in ENTRY_POINTS)}))), ','), ''), 'See README for entry points') AS entry_points, array_to_string(list_sort(files)[1:6], ',') AS key_files,
+      CASE WHEN list_contains(deps, 'requirements.txt') THEN 'pip install -r requirements.txt' WHEN list_contains(deps, 'pyproject.toml') THEN 'pip install -e .' WHEN list_contains(deps, 'package.json') THEN 'npm install' WHEN list_contains(deps, 'go.mod') THEN 'go mod download' END AS setup,
+      coalesce(nullif(array_to_string(languages[1:2], ', '), ''), 'unknown') AS stack FROM k"""
+)
 def first_guides(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What a newcomer to each project is told."""
-    told = guide(repo_files(spark, sf_dir).select("snapshot_id", "file"), ["snapshot_id"])
-    return told.select("snapshot_id", "files", F.size("entry_points").cast("long").alias("entry_points"))
+    """What a newcomer to each project is told; file names only are read of the contents."""
+    heads = table(spark, sf_dir, "repo_snapshot").select("snapshot_id", F.map_keys("file_contents").alias("files"), F.map_keys("dependency_files").alias("manifests"), "languages").dropDuplicates(["snapshot_id"])
+    told = guide(heads)
+    return told.select("snapshot_id", F.concat_ws(",", "entry_points").alias("entry_points"), F.concat_ws(",", "key_files").alias("key_files"), "setup", "stack")
 
 
-@query()
+@query(
+    rf"""WITH {_FILES}, t AS (SELECT *, regexp_extract(file, '[^/]*$') AS name, regexp_extract(regexp_extract(file, '[^/]*$'), '^.+(\.[^.]+)$', 1) AS kind, string_split(file, '/') AS parts FROM files),
+    k AS (SELECT * FROM t WHERE (kind IN ({", ".join(f"'{x}'" for x in TEXT_SUFFIXES)}) OR name IN ('Makefile', 'Dockerfile')) AND NOT list_has_any(parts, [{", ".join(f"'{x}'" for x in IGNORED_FOLDERS)}])),
+    r AS (SELECT *, CAST(row_number() OVER (PARTITION BY snapshot_id ORDER BY len(parts), encode(file)) AS INTEGER) AS rank FROM k)
+    SELECT snapshot_id, file, left(content, 3000) AS content, rank FROM r WHERE rank <= 20"""
+)
 def shallowest_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 shallowest text files of each snapshot, cut to 3,000 characters (a report's excerpt)."""
     return snapshot_sources(repo_files(spark, sf_dir), ["snapshot_id"])
@@ -444,7 +499,7 @@ def file_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repo_files(spark, sf_dir).select("snapshot_id", "file", token_estimate(F.col("content")).cast("long").alias("tokens"), F.octet_length("content").cast("long").alias("bytes")).distinct()
 
 
-@query()
+@query(f"WITH {_FILES}, b AS (SELECT snapshot_id, file, CAST(octet_length(encode(content)) AS DOUBLE) AS n FROM files) SELECT snapshot_id, file, CASE WHEN n < 1024 THEN printf('%.1f B', n) WHEN n < 1048576 THEN printf('%.1f KB', n / 1024) ELSE printf('%.1f MB', n / 1048576) END AS size, regexp_extract(regexp_extract(file, '[^/]*$'), '^.+(\\.[^.]+)$', 1) AS suffix, regexp_extract(file, '[^/]*$') AS name FROM b")
 def readable_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return file_sizes(spark, sf_dir).select("snapshot_id", "file", human_size(F.col("bytes")).alias("size"), suffix(F.col("file")).alias("suffix"), basename(F.col("file")).alias("name"))
 
@@ -553,15 +608,27 @@ def pr_summary_impact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.select("pr_id", "files", F.col("additions").cast("long").alias("additions"), F.col("deletions").cast("long").alias("deletions"), F.size("extensions").cast("long").alias("extensions"), F.size("folders").cast("long").alias("folders"), "impact")
 
 
-@query()
+@query(
+    f"""WITH {_PATCHES}, e AS (SELECT *, CASE WHEN contains(file, '.') THEN nullif(regexp_extract(file, '\\.([^.]*)$', 1), '') END AS ext, CASE WHEN contains(file, '/') THEN split_part(file, '/', 1) END AS folder FROM patches),
+    s AS (SELECT pr_id, count(*) AS files, CAST(sum(additions) AS BIGINT) AS additions, CAST(sum(deletions) AS BIGINT) AS deletions, list_sort(list(DISTINCT ext) FILTER (ext IS NOT NULL)) AS extensions, list_sort(list(DISTINCT folder) FILTER (folder IS NOT NULL)) AS folders,
+      bool_or(contains(lower(file), 'test')) AS tests, bool_or(file IN ('pyproject.toml', 'package.json', 'requirements.txt', 'go.mod')) AS deps, list(file ORDER BY additions + deletions DESC, ordinal)[1:5] AS key_changes FROM e GROUP BY pr_id)
+    SELECT pr_id, files, additions, deletions, coalesce(array_to_string(extensions, ','), '') AS extensions, coalesce(array_to_string(folders, ','), '') AS folders, array_to_string(key_changes, ',') AS key_changes, CASE WHEN additions + deletions < 100 THEN 'low' WHEN additions + deletions < 500 THEN 'medium' ELSE 'high' END AS impact,
+      coalesce(nullif(concat_ws(',', CASE WHEN list_has_any(coalesce(extensions, []), ['md', 'rst', 'txt']) THEN 'docs' END, CASE WHEN tests OR list_has_any(coalesce(extensions, []), ['test', 'spec']) THEN 'test' END, CASE WHEN deps THEN 'deps' END), ''), 'feature') AS categories FROM s"""
+)
 def pr_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return review.summary(patches(spark, sf_dir))
+    told = review.summary(patches(spark, sf_dir))
+    return told.select("pr_id", "files", F.col("additions").cast("long").alias("additions"), F.col("deletions").cast("long").alias("deletions"), *[F.concat_ws(",", c).alias(c) for c in ("extensions", "folders", "key_changes", "categories")], "impact")
 
 
-@query()
+@query(
+    f"""WITH p AS (SELECT DISTINCT ON (pr_id) * FROM pr), f AS (SELECT pr_id, list_transform(files, lambda f: '### ' || f.filename || ' (' || coalesce(f.status, '') || ', +' || coalesce(f.additions, 0) || ' -' || coalesce(f.deletions, 0) || ')' || chr(10) || coalesce(array_to_string({_lines_sql("coalesce(f.patch, '')")}[1:80], chr(10)), '')) AS parts FROM p)
+    SELECT p.pr_id, 'Pull request ' || number || ': ' || coalesce(title, '') || chr(10) || 'Author: ' || coalesce(author, '') || chr(10) || 'Branches: ' || coalesce(head_branch, '') || ' into ' || coalesce(base_branch, '') || chr(10) || 'Changes: +' || coalesce(additions, 0) || ' -' || coalesce(deletions, 0) || ' in ' || coalesce(changed_files, 0) || ' files' || chr(10) || 'Labels: ' || coalesce(nullif(array_to_string(labels, ', '), ''), 'none')
+      || chr(10) || chr(10) || 'Description:' || chr(10) || coalesce(body, '(no description)') || chr(10) || chr(10) || 'Files:' || chr(10) || coalesce(array_to_string(parts, chr(10) || chr(10)), '') AS prompt FROM p JOIN f ON f.pr_id = p.pr_id"""
+)
 def pr_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Review prompts; their sizes are the feature."""
-    return review.prompt(table(spark, sf_dir, "pr").select("pr_id", "title", "body", "files")).groupBy("pr_id").agg(F.first("prompt").alias("prompt"))
+    """Review prompts of medium detail; their sizes are the feature."""
+    once = first_sent(table(spark, sf_dir, "pr"), "pr_id", "fetched_at")
+    return review_prompt(once)
 
 
 # ---------------------------------------------------------------- cache

@@ -1,0 +1,75 @@
+"""Metrics and checks of written-out sources, whose right results are written out in the SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lintlake.operators import complexity
+from lintlake.plans import prompts
+from lintlake.plans.model_calls import answered
+from lintlake.sources.tables import table
+from lintlake.sources.tree import tree_text
+
+SOURCES = {
+    "simple.py": "def simple(a, b):\n    return a + b\n",
+    "method.py": "class K:\n    def m(self, x, *args, key=None, **kw):\n        if x and key:\n            for i in args:\n                print(i)\n        elif x:\n            return 1\n        return 0\n",
+    "nested.py": 'async def f():\n    try:\n        with open("x") as h:\n            return [c for c in h if c]\n    except ValueError:\n        assert False\n    def inner(y):\n        while y:\n            y -= 1\n',
+    "broken.py": "def broken(:\n    pass\n",
+    "load.ts": "export async function load(a, b) {\n  if (a && b) {\n    return a ? 1 : 2;\n  } else if (b) {\n    return b ?? 0;\n  }\n}\n",
+    "get.go": 'func (s *Store) Get(k string) (int, error) {\n\tfor i := range s.items {\n\t\tif i > 0 || k == "" {\n\t\t\treturn i, nil\n\t\t}\n\t}\n\treturn 0, nil\n}\n',
+    "pick.rs": "pub fn pick(&self, n: u32) -> u32 {\n    match n {\n        0 => 1,\n        _ => loop { break n; },\n    }\n}\n",
+    "Size.java": "public int size(String a, int b) throws Exception {\n    try {\n        return a.length();\n    } catch (Exception e) {\n        return b instanceof Object ? 1 : 0;\n    }\n}\n",
+    "checks.py": 'from os import *\nimport sys\ndef f(a, b=[], c={}):\n    global total\n    try:\n        eval("1")\n        obj.eval("2")\n    except:\n        exec("x")\n',
+}
+
+
+def _sources(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(list(SOURCES.items()), "file string, content string")
+
+
+def function_fixtures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metrics of every function of the written-out sources."""
+    rows = complexity.measured_functions(_sources(spark))
+    return rows.where("file != 'checks.py'").select("file", "name", "line", "end_line", "length", "cyclomatic", "max_nesting", "cognitive", "params", "risk")
+
+
+def ast_fixtures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings of the syntax-tree rules in the written-out sources."""
+    return complexity.ast_violations(_sources(spark)).select("file", "rule_id", "line", "severity")
+
+
+PATHS = ("README.md", "src/main.py", "src/lib/a.py", "src/lib/b.py", "docs/x.md", ".hidden/y.py", "vendor/z.py", "a/b/c/d/e/f.py")
+
+
+def tree_fixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The drawn tree of written-out paths, five levels deep, line by line."""
+    files = spark.createDataFrame([(1, p) for p in PATHS], "id int, file string")
+    return tree_text(files, ["id"]).select(F.posexplode(F.split("tree", "\n")).alias("position", "line"))
+
+
+def review_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Size and hash of the summary prompt of every pull request."""
+    prs = table(spark, sf_dir, "pr").select("pr_id", "title", "body", "files").dropDuplicates(["pr_id"])
+    return prompts.summary_prompt(prs).select("pr_id", F.length("prompt").alias("chars"), F.sha2("prompt", 256).alias("hash"))
+
+
+def model_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of calls of a stand-in model that answers `ok` three times over, one prompt of which was answered before."""
+    asked = spark.createDataFrame([("a" * 40,), ("b" * 8,), ("",)], "prompt string")
+    known = spark.createDataFrame([("m:" + "b" * 8, "known")], "text string, answer string").select(F.sha2("text", 256).alias("key"), "answer")
+    return prompts.usage(answered(asked, "m", lambda prompt: "ok" * 6, known))
+
+
+QUERIES = {"function_fixtures": function_fixtures, "ast_fixtures": ast_fixtures, "tree_fixture": tree_fixture, "review_prompts": review_prompts, "model_usage": model_usage}
+SQL = {
+    "function_fixtures": """SELECT * FROM (VALUES ('simple.py', 'simple', 1, 2, 2, 1, 0, 0, 2, 'low'), ('method.py', 'm', 2, 8, 7, 6, 2, 6, 4, 'low'), ('nested.py', 'f', 1, 9, 9, 5, 2, 4, 0, 'low'), ('nested.py', 'inner', 7, 9, 3, 2, 1, 1, 1, 'low'),
+        ('load.ts', 'load', 1, 7, 7, 8, 1, 6, 2, 'low'), ('get.go', 'Get', 1, 8, 8, 4, 2, 6, 1, 'low'), ('pick.rs', 'pick', 1, 6, 6, 3, 2, 5, 1, 'low'), ('Size.java', 'size', 1, 7, 7, 4, 1, 3, 2, 'low')) t(file, name, line, end_line, length, cyclomatic, max_nesting, cognitive, params, risk)""",
+    "ast_fixtures": "SELECT * FROM (VALUES ('checks.py', 'no-star-import', 1, 'medium'), ('checks.py', 'no-mutable-default', 3, 'medium'), ('checks.py', 'no-global', 4, 'low'), ('checks.py', 'no-eval', 6, 'high'), ('checks.py', 'no-bare-except', 8, 'medium'), ('checks.py', 'no-exec', 9, 'high')) t(file, rule_id, line, severity)",
+    "tree_fixture": "SELECT * FROM (VALUES (0, '├── a'), (1, '│   └── b'), (2, '│       └── c'), (3, '│           └── d'), (4, '│               └── e'), (5, '├── docs'), (6, '│   └── x.md'), (7, '├── src'), (8, '│   ├── lib'), (9, '│   │   ├── a.py'), (10, '│   │   └── b.py'), (11, '│   └── main.py'), (12, '└── README.md')) t(position, line)",
+    "review_prompts": """WITH p AS (SELECT DISTINCT ON (pr_id) * FROM pr), d AS (SELECT *, coalesce(array_to_string(list_transform(list_filter(files, lambda f: coalesce(f.patch, '') != ''), lambda f: '--- ' || f.filename || ' ---' || chr(10) || f.patch), chr(10) || chr(10)), '') AS diff FROM p WHERE files IS NOT NULL),
+        t AS (SELECT pr_id, 'Summarise this change.' || chr(10) || 'Title: ' || coalesce(title, '') || chr(10) || 'Description: ' || CASE WHEN coalesce(body, '') = '' THEN '(no description)' ELSE left(body, 2000) END || chr(10) || 'Files (' || len(files) || '):' || chr(10)
+          || coalesce(array_to_string(list_transform(files[1:30], lambda f: '  ' || f.filename || ' (+' || coalesce(f.additions, 0) || ' -' || coalesce(f.deletions, 0) || ')'), chr(10)), '') || chr(10) || chr(10) || 'Diff:' || chr(10) || CASE WHEN length(diff) > 15000 THEN left(diff, 15000) || chr(10) || chr(10) || '... (truncated)' ELSE diff END AS prompt FROM d)
+        SELECT pr_id, CAST(length(prompt) AS INTEGER) AS chars, sha256(prompt) AS hash FROM t""",
+    "model_usage": "SELECT CAST(11 AS BIGINT) AS prompt_tokens, CAST(6 AS BIGINT) AS completion_tokens, CAST(17 AS BIGINT) AS total_tokens, CAST(3 AS BIGINT) AS requests, CAST(1 AS BIGINT) AS cached_requests",
+}

@@ -60,21 +60,23 @@ class Window60:
                 self.sleep(max(0.01, 60 - (now - self.log[0][0])))
 
 
-def answered(prompts: DataFrame, model: str, call: Callable[[str], str] | None, cache: DataFrame | None = None, *, retries: int = 3, requests: int = 60, tokens: int = 100_000) -> DataFrame:
+def answered(prompts: DataFrame, model: str, call: Callable[[str], str] | None, cache: DataFrame | None = None, *, retries: int = 3, requests: int = 60, tokens: int = 100_000, at_once: int = 3) -> DataFrame:
     """prompts (with a column prompt) with answer and error. Answers in the cache (key, answer) are taken from
-    there; without a model the others stay null, with one each task asks for them one by one within its own rate. Errors are
-    rows, and are not for the cache."""
+    there; without a model the others stay null. With one, only they are brought into at_once tasks, each of which
+    asks one by one within its share of the rate, so that the whole job stays within it. Errors are
+    rows, and are not for the cache. `cached` tells which answers were known."""
     keyed = prompts.withColumn("key", response_key(F.lit(model), F.col("prompt")))
     if cache is not None:
         keyed = keyed.join(cache.select("key", F.col("answer").alias("known")), "key", "left")
     else:
         keyed = keyed.withColumn("known", F.lit(None).cast("string"))
     if call is None:
-        return keyed.withColumn("answer", F.col("known")).withColumn("error", F.lit(None).cast("string")).drop("known")
+        return keyed.withColumn("answer", F.col("known")).withColumn("error", F.lit(None).cast("string")).withColumn("cached", F.col("known").isNotNull()).drop("known")
     asked = keyed.columns
+    at_once = max(1, min(at_once, requests))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ask, window = with_retries(call, retries=retries), Window60(requests, tokens)
+        ask, window = with_retries(call, retries=retries), Window60(max(1, requests // at_once), max(1, tokens // at_once))
         for batch in batches:
             answers, errors = [], []
             for prompt, known in zip(batch.column(asked.index("prompt")).to_pylist(), batch.column(asked.index("known")).to_pylist()):
@@ -92,4 +94,6 @@ def answered(prompts: DataFrame, model: str, call: Callable[[str], str] | None,
     from pyspark.sql.types import StringType, StructField, StructType
 
     schema = StructType([*keyed.schema.fields, StructField("answer", StringType()), StructField("error", StringType())])
-    return keyed.mapInArrow(run, schema).drop("known")
+    fresh = keyed.where("known is null").repartition(at_once).mapInArrow(run, schema).withColumn("cached", F.lit(False))
+    known = keyed.where("known is not null").withColumns({"answer": F.col("known"), "error": F.lit(None).cast("string"), "cached": F.lit(True)})
+    return known.unionByName(fresh).drop("known")

@@ -95,6 +95,15 @@ class Registry:
     def enable(self, name: str, on: bool = True) -> None:
         (self.disabled.discard if on else self.disabled.add)(name)
 
+    def names(self, *found: str) -> list[str]:
+        """Names of all plugins, registered or found elsewhere, each once."""
+        return sorted({*self.plugins, *found})
+
+    def info(self, name: str) -> dict[str, Any] | None:
+        """What is known of a plugin."""
+        p = self.plugins.get(name)
+        return p and {"name": p.name, "version": p.version, "kind": p.kind, "priority": p.priority, "dependencies": list(p.dependencies), "missing": missing(p, self.plugins), "languages": list(p.languages), "options": [o.name for o in p.options], "enabled": name not in self.disabled}
+
     def usable(self, version: str, only: Sequence[str] | None = None) -> dict[str, Plugin]:
         """Enabled plugins whose needed version is met and whose dependencies are registered."""
         chosen = {n: p for n, p in self.plugins.items() if n not in self.disabled and (only is None or n in only)}

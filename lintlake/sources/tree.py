@@ -5,15 +5,31 @@ from __future__ import annotations
 from collections.abc import Iterable, Sequence
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lintlake.functions.globs import ignore_predicate
 from lintlake.functions.rules import ignored
+from lintlake.functions.text import basename, suffix
 from lintlake.operators.complexity import SKIP_FOLDERS
 
-# What a snapshot takes up.
-TEXT_SUFFIXES = (".py", ".js", ".ts", ".jsx", ".tsx", ".go", ".rs", ".java", ".md", ".toml", ".yaml", ".yml", ".json")
+# What a snapshot takes up, what it passes over, and its names of languages.
+TEXT_SUFFIXES = (".py", ".ts", ".tsx", ".js", ".jsx", ".go", ".rs", ".java", ".rb", ".php", ".cs", ".cpp", ".c", ".swift", ".kt", ".md", ".yaml", ".yml", ".toml", ".json")
+TEXT_NAMES = ("Makefile", "Dockerfile")
+IGNORED_FOLDERS = (".git", ".github", "node_modules", "__pycache__", ".venv", "venv", "env", "dist", "build", ".next", ".nuxt", "coverage", ".pytest_cache", ".mypy_cache", ".ruff_cache", "target", "vendor")
+LANGUAGES = {".py": "Python", ".ts": "TypeScript", ".tsx": "TypeScript", ".js": "JavaScript", ".jsx": "JavaScript", ".go": "Go", ".rs": "Rust", ".java": "Java", ".rb": "Ruby", ".php": "PHP", ".cs": "C#", ".cpp": "C++", ".c": "C", ".swift": "Swift", ".kt": "Kotlin", ".ex": "Elixir", ".exs": "Elixir"}
+
+
+def _passed_over(file: Column) -> Column:
+    return F.arrays_overlap(F.split(file, "/"), F.array(*map(F.lit, IGNORED_FOLDERS)))
+
+
+def language_counts(files: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Languages of each key by number of files, ties by name, with their place. One row a language is ranked."""
+    kinds = F.create_map(*[F.lit(x) for pair in LANGUAGES.items() for x in pair])
+    named = files.where(~_passed_over(F.col("file"))).select(*keys, F.try_element_at(kinds, suffix(F.col("file"))).alias("language")).where("language is not null")
+    counts = named.groupBy(*keys, "language").agg(F.count(F.lit(1)).alias("files"))
+    return counts.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("files"), "language")))
 
 
 def _decoded(column: pa.Array) -> pa.Array:
@@ -33,7 +49,7 @@ def read_tree(spark: SparkSession, root: str, *, suffixes: Sequence[str] | None
     name = F.when(relative == "", F.element_at(F.split("path", "/"), -1)).otherwise(relative)
     kept = listed.select("path", "length", name.alias("file"))
     if suffixes:
-        kept = kept.where(F.lower("file").rlike("(?:" + "|".join(_quoted(s) for s in suffixes) + ")$"))
+        kept = kept.where(F.col("file").rlike("(?:" + "|".join(_quoted(s) for s in suffixes) + ")$"))
     skip = list(skip_folders)
     if skip:
         kept = kept.where(~F.arrays_overlap(F.split("file", "/"), F.array(*map(F.lit, skip))))
@@ -55,21 +71,31 @@ def _quoted(text: str) -> str:
     return r"\Q" + text + r"\E" if text else ""
 
 
-def tree_text(files: DataFrame, keys: Sequence[str], depth: int = 4) -> DataFrame:
-    """Folders and files of each key down to a depth as indented text, folders first."""
+def tree_text(files: DataFrame, keys: Sequence[str], depth: int = 5) -> DataFrame:
+    """Folders and files of each key down to a depth as a drawn tree, folders first; hidden names and the folders
+    that snapshots pass over are left out."""
     parts = F.slice(F.split("file", "/"), 1, depth)
-    steps = files.select(*keys, F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.struct(F.slice(parts, 1, n).alias("at"), (n < F.size(F.split("file", "/"))).alias("folder")))).alias("s")).select(*keys, "s.at", "s.folder").distinct()
-    above = F.transform(F.slice("at", F.lit(1), F.size("at") - 1), lambda p: F.concat(F.lit("0"), p))
-    key = F.array_join(F.concat(above, F.array(F.concat(F.when(F.col("folder"), "0").otherwise("1"), F.element_at("at", -1)))), "\u0001")
-    line = F.concat(F.repeat(F.lit("    "), F.size("at") - 1), F.element_at("at", -1), F.when(F.col("folder"), "/").otherwise(""))
-    rows = steps.select(*keys, F.struct(key.alias("k"), line.alias("l")).alias("r"))
-    return rows.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list("r")), lambda r: r["l"]), "\n").alias("tree"))
+    shown = files.where(~_passed_over(F.col("file")) & ~F.col("file").rlike(r"(?:^|/)\."))
+    steps = shown.select(*keys, F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.struct(F.slice(parts, 1, n).alias("at"), (n < F.size(F.split("file", "/"))).alias("folder")))).alias("s")).select(*keys, "s.at", "s.folder").distinct()
+    # a path sorts by its steps, each marked as folder (0) or file (1)
+    marked = F.transform("at", lambda p, i: F.concat(F.when((i < F.size("at") - 1) | F.col("folder"), "0").otherwise("1"), p))
+    above = F.array_join(F.slice("at", F.lit(1), F.size("at") - 1), "\u0001")
+    placed = steps.select(*keys, "at", marked.alias("key"), above.alias("above"))
+    last = placed.withColumn("last", F.col("key") == F.max("key").over(Window.partitionBy(*keys, "above")))
+    # whether each of the folders above is the last of its own folder
+    told = last.select(*keys, F.struct("key", F.col("at"), "last").alias("r")).groupBy(*keys).agg(F.array_sort(F.collect_list("r")).alias("rows"))
+    ends = F.map_from_entries(F.transform("rows", lambda r: F.struct(F.array_join(r["at"], "\u0001"), r["last"])))
+    held = told.withColumn("ends", ends)
+    prefix = lambda r: F.array_join(F.transform(F.when(F.size(r["at"]) > 1, F.sequence(F.lit(1), F.size(r["at"]) - 1)).otherwise(F.array().cast("array<int>")), lambda n: F.when(F.try_element_at("ends", F.array_join(F.slice(r["at"], F.lit(1), n), "\u0001")), "    ").otherwise("│   ")), "")
+    line = lambda r: F.concat(prefix(r), F.when(r["last"], "└── ").otherwise("├── "), F.element_at(r["at"], -1))
+    return held.select(*keys, F.array_join(F.transform("rows", line), "\n").alias("tree"))
 
 
 def snapshot_sources(files: DataFrame, keys: Sequence[str], most_files: int = 20, most_chars: int = 3_000) -> DataFrame:
-    """The shallowest text files of each key, cut to a size."""
+    """The shallowest text files of each key, cut to a size before they are shuffled."""
     from lintlake.operators.topn import top_n_per_group
 
-    text = files.where(F.lower("file").rlike("(?:" + "|".join(_quoted(s) for s in TEXT_SUFFIXES) + ")$"))
+    kind, name = suffix(F.col("file")), basename(F.col("file"))
+    text = files.where((kind.isin(*TEXT_SUFFIXES) | name.isin(*TEXT_NAMES)) & ~_passed_over(F.col("file"))).withColumn("content", F.left("content", F.lit(most_chars)))
     best = top_n_per_group(text, F.to_json(F.struct(*keys)), -F.size(F.split("file", "/")), [F.col("file")], F.col("file"), most_files)
-    return best.select(*keys, "file", F.left("content", F.lit(most_chars)).alias("content"), "rank")
+    return best.select(*keys, "file", "content", "rank")

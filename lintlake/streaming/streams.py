@@ -18,8 +18,12 @@ def debounced(changes: DataFrame, *, key: str = "uri", ts: str = "ts", quiet: st
 
 
 def rate_windows(calls: DataFrame, *, ts: str = "ts", tokens: str = "tokens", length: str = "60 seconds", slide: str = "10 seconds", late: str = "10 minutes") -> DataFrame:
-    """Requests and tokens in sliding windows."""
-    events = calls.withWatermark(ts, late) if calls.isStreaming else calls
+    """Requests and tokens in sliding windows. A batch is summed to bins of one slide first, so that not every row
+    is copied into each of its windows; a stream has one aggregation, by its windows."""
+    if not calls.isStreaming:
+        bins = calls.groupBy(F.window(ts, slide).alias("b")).agg(F.count(F.lit(1)).alias("n"), F.sum(tokens).alias("s"))
+        return bins.groupBy(F.window("b.start", length, slide).alias("w")).agg(F.sum("n").alias("requests"), F.sum("s").alias("tokens")).select(F.col("w.start").alias("from"), F.col("w.end").alias("until"), "requests", "tokens")
+    events = calls.withWatermark(ts, late)
     return events.groupBy(F.window(ts, length, slide).alias("w")).agg(F.count(F.lit(1)).alias("requests"), F.sum(tokens).alias("tokens")).select(F.col("w.start").alias("from"), F.col("w.end").alias("until"), "requests", "tokens")
 
 
@@ -37,7 +41,7 @@ def live_leaderboard(entries: DataFrame) -> DataFrame:
     """Totals and score of each author as entries arrive; for update or complete mode."""
     from lintlake.operators.scoreboard import leaderboard
 
-    return leaderboard(entries, exact_rounding=False)
+    return leaderboard(entries)
 
 
 def arrivals(spark: SparkSession, folder: str, schema: StructType, analyse: Callable[[DataFrame], DataFrame], out: str, checkpoint: str):

@@ -147,7 +147,7 @@ def test_sources(spark, tmp_path):
     assert [r["file"] for r in tree.read_tree(spark, str(tmp_path), suffixes=[".md"]).collect()] == ["c.md"]
     assert [r["file"] for r in tree.read_tree(spark, str(tmp_path), ignore_file=["*.py"]).collect()] == ["c.md"]
     listed = spark.createDataFrame([(1, f) for f in ("b.py", "a/z.py", "a/b/c/d/e.py")], "id int, file string")
-    assert tree.tree_text(listed, ["id"]).first()["tree"].split("\n") == ["a/", "    b/", "        c/", "            d/", "    z.py", "b.py"]
+    assert tree.tree_text(listed, ["id"]).first()["tree"].split("\n") == ["├── a", "│   ├── b", "│   │   └── c", "│   │       └── d", "│   │           └── e.py", "│   └── z.py", "└── b.py"]
     (tmp_path / "h.json").write_text(json.dumps([{"timestamp": "t", "author": "a", "metrics": {"reviews": 1}, "unknown": 1}, {"timestamp": "u", "author": "b", "metrics": {}}]))
     assert [r["author"] for r in documents.read_history(spark, str(tmp_path / "h.json")).orderBy("seq").collect()] == ["a", "b"]
     (tmp_path / "bad.json").write_text("{[")
@@ -205,9 +205,80 @@ def test_expiry(spark, tmp_path):
 def test_editor(spark):
     from lintlake.plans.editor import analysed, diagnostics, guide
 
-    rows = spark.createDataFrame([("R", "critical", 1, "unused x"), (None, "info", None, None)], "rule_id string, severity string, line int, match string")
-    assert [(r["line"], r["level"], r["code"], r["tags"]) for r in diagnostics(rows, "rules").collect()] == [(0, 1, "lintlake/rules/R", ["unnecessary"]), (0, 4, "lintlake/rules/?", [])]
-    files = spark.createDataFrame([(1, f) for f in ("package.json", "requirements.txt", "src/main.py", "README.md")], "id int, file string")
-    r = guide(files, ["id"]).first()
-    assert (r["entry_points"], r["setup"], r["key_files"], r["files"]) == (["src/main.py"], "pip install -r requirements.txt", ["README.md", "package.json", "requirements.txt"], 4)
-    assert [r[0] for r in files.select(analysed(F.col("file"))).collect()] == [False, False, True, False]
+    rows = spark.createDataFrame([("R", "critical", 1, "unused x"), (None, "odd", None, None), ("deprecated-call", "info", 7, "old")], "rule_id string, severity string, line int, message string")
+    got = [(r["line"], r["end_line"], r["level"], r["code"], r["tags"]) for r in diagnostics(rows, "rules").collect()]
+    assert got == [(0, 0, 1, "lintlake/rules/R", ["unnecessary"]), (0, 0, 3, "lintlake/rules/rules-issue", []), (6, 6, 4, "lintlake/rules/deprecated-call", ["deprecated"])]
+    heads = spark.createDataFrame([(1, ["src/main.py", "README.md", "app.py"], ["package.json", "requirements.txt"], ["Python", "Go", "C"]), (2, None, None, None)], "id int, files array<string>, manifests array<string>, languages array<string>")
+    one, two = guide(heads).orderBy("id").collect()
+    assert (one["entry_points"], one["setup"], one["key_files"], one["stack"]) == (["app.py"], "pip install -r requirements.txt", ["README.md", "app.py", "src/main.py"], "Python, Go")
+    assert (two["entry_points"], two["setup"], two["key_files"], two["stack"]) == (["See README for entry points"], None, [], "unknown")
+    uris = spark.createDataFrame([("file:///a.py",), ("a.py",), ("file:///a.PY",)], "u string")
+    assert [r[0] for r in uris.select(analysed(F.col("u"))).collect()] == [True, False, False]
+
+
+def test_rounding_by_binary_values(spark):
+    import random
+
+    from lintlake.functions.grades import half_even_1
+
+    rng = random.Random(3)
+    values = [0.25, 0.35, 0.05, -0.25, -0.35, 10.05, 2.5, 1e300, float("inf"), 0.0, -0.0, 1e14 + 0.25, *[round(rng.uniform(-50, 50), 2) for _ in range(3000)], *[rng.uniform(-1e6, 1e6) for _ in range(3000)], *[k / 20 for k in range(-400, 400)]]
+    rows = spark.createDataFrame([(v,) for v in values], "v double").select("v", half_even_1(F.col("v")).alias("r")).collect()
+    assert [r["r"] for r in rows] == [round(r["v"], 1) if abs(r["v"]) < 1e15 else r["v"] for r in rows]
+
+
+def test_whole_board(spark):
+    from lintlake.operators.scoreboard import ranked
+
+    board = spark.createDataFrame([(f"a{i}", float(i % 17), i) for i in range(500)], "author string, score double, first_seq int").repartition(7)
+    want = {a: k for k, (_, _, a) in enumerate(sorted((-(i % 17), i, f"a{i}") for i in range(500)), 1)}
+    assert {r["author"]: r["place"] for r in ranked(board).collect()} == want
+    assert {r["author"]: r["place"] for r in ranked(board, 3).collect()} == {a: k for a, k in want.items() if k <= 3}
+
+
+def test_pages(spark):
+    from lintlake.functions.rules import described
+    from lintlake.plans import pages
+
+    found = spark.createDataFrame([("SEC009", "high", "a<b>.py", 3, "password = 'x' * 2" + "y" * 80), ("VLN004", "medium", "c.py", 1, "eval(x)"), ("own", None, None, None, None)], "rule_id string, severity string, file string, line int, match string")
+    told = described(found)
+    assert [r["title"] for r in told.collect()] == ["password", "dynamic evaluation", None]
+    functions = spark.createDataFrame([(f"f{i}", "a.py", i) for i in range(70)], "name string, file string, cyclomatic int")
+    issues = spark.createDataFrame([(f"{i:02d}.md", 0, "untagged block") for i in range(30)], "file string, block_index int, issue string")
+    sections = pages.dashboard_sections(functions=functions, findings=told, issues=issues, violations=found)
+    by = {x.name: x for x in sections}
+    assert len(by["complexity"].rows) == 50 and by["complexity"].chart["values"][0] == 69 and len(by["complexity"].chart["labels"]) == 15
+    assert len(by["docs"].rows) == 20 and dict(zip(by["security"].chart["labels"], by["security"].chart["values"])) == {"high": 1, "medium": 1, "none": 1}
+    text = pages.page("t<", sections, {"findings": 3})
+    assert "a&lt;b&gt;.py" in text and "<b>.py" not in text and "t&lt;" in text
+    scan = {"pr_number": 5, "score": 80, "grade": "B", "files_scanned": 1, "total_files": 2}
+    body = pages.security_comment(scan, told.where("severity is not null"))
+    assert "🟡 score 80/100" in body and "| High | 1 |" in body and body.index("password") < body.index("dynamic") and "..." in body
+    assert "No security issues" in pages.security_comment({**scan, "score": 95}, told.where("false"))
+    assert "✅" in pages.review_comment(1, "Ready to merge", "s", [], []) and "⚠️" in pages.review_comment(1, "Needs changes", "s", [{"file": "a", "reason": "r"}], [])
+    entries = spark.createDataFrame([(1, "2024-01-01", "ann", {"complexity_avg": 3.0}), (2, "2024-01-02", "bob<", {"reviews": 5.0})], "seq int, ts string, author string, metrics map<string,double>")
+    board = pages.scoreboard_page(entries)
+    assert "bob&lt;" in board and board.index("Podium") < board.index("Activity")
+    assert pages.terminal_table(functions.orderBy("cyclomatic"), 2).split("\n")[2].split() == ["f0", "a.py", "0"]
+
+
+def test_prompts(spark):
+    from lintlake.plans import prompts
+
+    files = [("a.py", "added", 3, 0, "\n".join(f"+l{i}" for i in range(300))), ("b.py", None, None, None, None)]
+    prs = spark.createDataFrame([(1, 7, "T", None, "ann", "main", "dev", 3, 0, 2, [], files)], "pr_id int, number int, title string, body string, author string, base_branch string, head_branch string, additions int, deletions int, changed_files int, labels array<string>, files array<struct<filename string, status string, additions int, deletions int, patch string>>")
+    text = lambda df: df.first()["prompt"]
+    assert [text(prompts.review_prompt(prs, d)).count("+l") for d in ("low", "medium", "high", "odd")] == [30, 80, 200, 80]
+    found = spark.createDataFrame([(1, "high", "x", "a.py"), (1, "high", "x", "a.py")], "pr_id int, severity string, title string, file string")
+    secure = text(prompts.security_prompt(prs, found))
+    assert secure.count("- [HIGH] x in a.py") == 1 and "(no description)" in secure and "--- b.py" not in secure
+    assert "None" in text(prompts.security_prompt(prs, found.where("false")))
+    assert len(text(prompts.task_prompt(spark.createDataFrame([(1, "z" * 90_000)], "id int, code string"), "review", "code", "id"))) < 51_000
+    said = spark.createDataFrame([(1, '```json\n{"issues": [{"line": 3}, {"line": 4}]}\n```'), (2, '[{"line": 9}]'), (3, "no json"), (4, None)], "id int, answer string")
+    got = [(r["id"], r["position"], r["item"]["line"]) for r in prompts.listed(said, "struct<line int>").orderBy("id", "position").collect()]
+    assert got == [(1, 0, 3), (1, 1, 4), (2, 0, 9)]
+    told = prompts.parsed(spark.createDataFrame([(1, 'So: {"summary": "s"} there'), (2, "nothing")], "id int, answer string"), "summary string", fallback=F.struct(F.lit("unable").alias("summary")))
+    assert [r["said"]["summary"] for r in told.orderBy("id").collect()] == ["s", "unable"]
+    issues = spark.createDataFrame([("a", 0, "i0"), ("a", 1, "i1"), ("b", 0, "j0")], "file string, index int, issue string")
+    fixes = spark.createDataFrame([("a", 1, "fix"), ("a", 9, "lost")], "file string, issue_index int, replacement string")
+    assert [(r["issue"], r["replacement"]) for r in prompts.fixed_issues(issues, fixes, "file").collect()] == [("i1", "fix")]
