@@ -5,9 +5,9 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lintlake.functions.arrays import sums_before
 from lintlake.functions.grades import SEVERITIES, security_grade, security_score, severity_rank
 from lintlake.functions.rules import FILE_RULES, SECRET_RULES, VULNERABILITY_RULES, Rule, any_of, hits, ignored, matches
 from lintlake.functions.text import lines, strip
@@ -25,18 +25,17 @@ def added_lines(patches: DataFrame, keys: Sequence[str], patch: str = "patch") -
     """Added lines of unified diffs with their numbers in the new file.
 
     A hunk header that names a new start sets the counter before it; added lines and everything else
-    but removed lines count (file headers and the no-newline mark too). Running sums over one window
-    for each patch, one shuffle; keys must name one patch.
-    """
-    parts = patches.where(f"{patch} is not null and {patch} != ''").select(*keys, F.posexplode(F.split(patch, "\n")).alias("at", "raw"))
-    header = F.startswith("raw", F.lit("@@"))
-    added = F.startswith("raw", F.lit("+")) & ~F.startswith("raw", F.lit("+++"))
-    start = F.when(header, F.nullif(F.regexp_extract("raw", r"\+(\d+)", 1), F.lit("")).cast("long"))
-    counts = F.when(header | (F.startswith("raw", F.lit("-")) & ~added), 0).otherwise(1)
-    w = W.partitionBy(*keys).orderBy("at").rowsBetween(W.unboundedPreceding, 0)
-    run = parts.withColumns({"start": start, "added": added}).withColumn("seen", F.sum(counts).over(w))
-    base = run.withColumn("base", F.last(F.when(F.col("start").isNotNull(), F.struct(F.col("start"), F.col("seen"))), ignorenulls=True).over(w))
-    return base.where("added").select(*keys, (F.coalesce(F.col("base.start") - 1, F.lit(0)) + F.col("seen") - F.coalesce(F.col("base.seen"), F.lit(0))).cast("int").alias("line"), F.expr("substring(raw, 2)").alias("text"))
+    but removed lines count (file headers and the no-newline mark too). A patch is cut before each such header, and
+    lines are counted inside the row: nothing is shuffled, and only added lines become rows."""
+    raw = F.split("hunk", "\n")
+    is_added = lambda x: F.startswith(x, F.lit("+")) & ~F.startswith(x, F.lit("+++"))
+    counts = F.transform(raw, lambda x: F.when(F.startswith(x, F.lit("@@")) | F.startswith(x, F.lit("-")), 0).otherwise(1))
+    first = F.get(raw, F.lit(0))
+    base = F.coalesce(F.when(F.startswith(first, F.lit("@@")), F.nullif(F.regexp_extract(first, r"\+(\d+)", 1), F.lit("")).cast("long")) - 1, F.lit(0))
+    hunks = patches.where(f"{patch} is not null and {patch} != ''").select(*keys, F.explode(F.split(patch, r"\n(?=@@[^\n]*\+\d)")).alias("hunk"))
+    told = hunks.select(*keys, base.alias("base"), F.zip_with(raw, sums_before(counts), lambda x, n: F.when(is_added(x), F.struct(n.alias("n"), F.substring(x, F.lit(2), F.length(x)).alias("text")))).alias("lines"))
+    rows = told.select(*keys, "base", F.explode(F.filter("lines", lambda x: x.isNotNull())).alias("x"))
+    return rows.select(*keys, (F.col("base") + F.col("x.n") + 1).cast("int").alias("line"), "x.text")
 
 
 def rule_findings(rows: DataFrame, rules: Sequence[Rule] = (*SECRET_RULES, *VULNERABILITY_RULES)) -> DataFrame:
