@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lintlake.functions.arrays import sums_before
+
 
 def _pattern(size: Column, least: Column) -> Column:
     """Alternatives by strength of the boundary, each with bounded quantifiers; the first that fits wins.
@@ -26,19 +28,6 @@ def _pattern(size: Column, least: Column) -> Column:
     )
 
 
-def _sums(values: Column, first: Column) -> Column:
-    """The first value, and its sums with ever more of the values."""
-    return F.aggregate(values, F.array(first), lambda a, x: F.array_append(a, F.element_at(a, -1) + x))
-
-
-def _before(lengths: Column, block: int = 256) -> Column:
-    """Sums of the elements before each one, by blocks, so that no long array is copied for every element."""
-    zero = F.lit(0)
-    blocks = F.transform(F.sequence(zero, F.floor(F.greatest(F.size(lengths) - 1, zero) / block).cast("int")), lambda b: F.slice(lengths, b * block + 1, F.lit(block)))
-    totals = _sums(F.transform(blocks, lambda y: F.aggregate(y, zero, lambda s, x: s + x)), zero)
-    return F.flatten(F.zip_with(blocks, F.slice(totals, F.lit(1), F.size(totals) - 1), lambda y, t: F.slice(_sums(y, t), F.lit(1), F.size(y))))
-
-
 def split_oversized(df: DataFrame, text: str, limit: Column, overlap_lines: Column, *, prefix: str = "piece") -> DataFrame:
     """One row for each piece of every text that has more than limit characters (code points).
 
@@ -69,7 +58,7 @@ def split_oversized(df: DataFrame, text: str, limit: Column, overlap_lines: Colu
         .withColumn("room", F.expr(r"CASE WHEN lines = 0 THEN 0 ELSE CAST(least(CAST(lines AS BIGINT) * (coalesce(array_max(filter(transform(split(t, '\n'), x -> length(x) + 1), n -> CAST(n AS BIGINT) * lines <= half)), half) ), CAST(half AS BIGINT)) AS INT) END"))
         .withColumn("size", F.expr("most - room"))
         .withColumn("lengths", F.transform(F.regexp_extract_all("masked", _pattern(F.col("size").cast("string"), F.expr("CAST(greatest(size DIV 2, 1) AS STRING)")), F.lit(0)), F.length))
-        .withColumn("starts", _before(F.col("lengths")))
+        .withColumn("starts", sums_before(F.col("lengths")))
     )
     cut = long.select("row", "t", "lines", "room", "most", F.size("lengths").alias("n"), F.posexplode(F.arrays_zip(F.col("starts").alias("at"), F.col("lengths").alias("own"))).alias("i", "p"))
     # what precedes the piece, as far as the piece leaves room, and one character more that tells whether it begins a line
