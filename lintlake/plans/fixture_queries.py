@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lintlake.operators import complexity, scan
 from lintlake.plans import prompts
 from lintlake.plans.model_calls import answered
-from lintlake.sources.tables import table
+from lintlake.sources.tables import first_sent, table
 from lintlake.sources.tree import tree_text
 
 SOURCES = {
@@ -74,7 +74,7 @@ def tree_fixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def review_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Size and hash of the summary prompt of every pull request."""
-    prs = table(spark, sf_dir, "pr").select("pr_id", "title", "body", "files").dropDuplicates(["pr_id"])
+    prs = first_sent(table(spark, sf_dir, "pr").select("pr_id", "fetched_at", "title", "body", "files"), "pr_id", "fetched_at")
     return prompts.summary_prompt(prs).select("pr_id", F.length("prompt").alias("chars"), F.sha2("prompt", 256).alias("hash"))
 
 
